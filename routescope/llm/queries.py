@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p1_terms", "p3_similar", "p4_clusters", "p5_pairs", "p6_neighbours")
+MODULES = ("p1_terms", "p2_chunks", "p3_similar", "p4_clusters", "p5_pairs", "p6_neighbours", "p7_packing", "p8_leaks")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
