@@ -1,0 +1,53 @@
+"""Hand-labelled training text for the sentence model: a bar stands behind the last character of each sentence."""
+
+from __future__ import annotations
+
+EXAMPLES = [
+    # plain ends, with and without a space, over line breaks
+    "The sample was warm.| The second one was cold.| Nobody moved.|",
+    "The wind turned.| 47 of 90 boats stayed.| 3 boats left.| (p = 4) rose.|",
+    "A long line of words that goes\non in the next line and then\nends here.| Another one starts.|",
+    "He left.|\nShe stayed behind.| Both were glad.|",
+    "The stone fell.|The water rose.| It was deep.|", "Words were lost (n = 4).|The rest was kept.|", "It grew by 5.|The end came.|",
+    "Heading\n\nThe text begins here.| It goes on.|", "First part.|\n\nMethods\n\nWe walked.| We ran.|",
+    "A last sentence may lack its mark.| As this one", "It ended.|  Two spaces follow.|", "It ended here. |\nAnother began.|".replace(". |", ".| "),
+    # decimals, versions, numbers
+    "It weighed 3.5 kg.| It cost 1.204,5 in all.| Release v2.8.0 was used.|", "A value of .05 was seen.| Then 8,712.2 came.| The ratio was 9.04.| Next came 15.|",
+    "Odds were 0.7 (0.2 to 1.3).| They fell.|", "It gave approx. .03 mg per kg.| It gave 5 mg.| La dose fut de ,06 mg.| Elle monta.|",
+    "It came before CSB47.) No one.|".replace("It came before CSB47.) No one.|", "(It came before CSB47.)| No one saw it.|"), "They wrote: “It raised NRT99.”| The daily count fell.| They wrote: “It was 40.”| Then it fell.|", "La dose selon NTP59.| M. Petit écrit une lettre.|",
+    "It explained KB74.| S. B. Taylor came.| They followed XF3.|\nM. B. Jones left.| It came after GS86.| HM93 fell.| The ratio was 58.09.| J. A. Smith left.| The ratio was 71.6.| (It fell.)|",
+    # titles, initials, references, linking abbreviations
+    "Dr. Miller met Prof. Jones.| They spoke.| J. H. Smith and Prof. Brown agreed.|", "M. Durand et Mme Petit parlent.| M. Petit écrit une lettre.|",
+    "El Sr. Gómez y la Dra. Ruiz vienen.| El Dr. Paz dijo que sí.|", "See No. 5 in Vol. 12 for more.| See Fig. 3 below.| The tree (Fig. 2), i.e. the oak, grew.|",
+    "The cat vs. the dog was close.| It took approx. 40 days, e.g. in May.| Runs vs. XB-3 gave approx. 4 wins.| Tools such as e.g. KLM2 helped.| It is, i.e. NB4 is, old.|",
+    "Smith et al. showed this.| Jones et al. raised it (n = 3).|", "Der Wert lag bei ca. 6,4 mg (Abb. 3).| Er lag bei ca. ,08 mg (Abb. 5).| Es kam z. B. bei AB30 vor.| Das Haus, d. h. die Mauer, stand.| Am 4. März kam er.| Am 21. August ging sie.| Es gilt z. B. am Tag.|",
+    "La valeur (cf. fig. 4) selon AB7 monte.| Un cas (p. ex. TA90), env. 3,6 mg.| Env. 40 cas.|", "Un caso, p. ej. con FF57, crece.| Midieron aprox. 0,08 mg.| La señal baja.|",
+    "Дом, т. е. крыша, стоит.| Доза составила 0,06 мг (рис. 2).| Изучены лес, река и др.| Потом пришёл д-р Петров.| Трава, т. е. луг, растёт.|",
+    # abbreviations that may end a sentence
+    "They took wood, stone, etc.| The rest was left.| Wood, stone, etc. were left.| We saw sand, clay, etc.| “Can it hold?” asked Dr. Lee.|",
+    "Doses came at 9 a.m. and 4 p.m.| The next day was calm.| It opened at 10 a.m. and closed at 5 p.m.| 12 of 40 came.| We met at 7 p.m.| (The door was shut.)| Doses came at 8 a.m. and 3 p.m.|\nNobody came.|",
+    "Untersucht wurden Holz, Stein usw.| Die Wand stand.| Holz usw. wurden geprüft.| Untersucht wurden Holz, Glas usw.| „War es kalt?“, fragte Prof. Meier.|",
+    "Изучены лес, поле и др.| Река течёт.| Изучены дом и др.| «Где дом?» — спросил д-р Петров.|", "Isolated from wood, stone, etc.| xKL4 was kept.| Doses at 6 a.m. and 2 p.m.| zTG6 rose.|",
+    # ellipsis
+    "The light faded ... and then came back.| It slowed ... and\nthen stopped.| It faded ... then it rose.| It ended …| The next day came.| Is it gone…?| Yes.|", "光が消えた……そして戻った。| 声音消失了……随后回来了。| 水位下降……随后上升。| 速度变慢……然后停止。|",
+    # questions, exclamations, symbols and digits after them
+    "Did it really end?| No boat survived!| Did it end?!| 8 of 40 left.| Why go at all?| xKL3 stayed.| Did it end…?| The rest stayed.| No tree survived!| aBC4 fell.| Really?| (The door was open.)|",
+    "Warum kam er?| Die Tür war zu.| ¿Por qué vino?| ¡La casa cayó!| ¡El río subió!| ¿Por qué no?| La puerta abrió.| Pourquoi vient-il ?| La porte tombe ;| ".replace(" ;| ", " ; la nuit vient.| "),
+    # quotations: reported speech goes on behind the quotation, or ends with it
+    "“Can it hold?” asked Dr. Lee.| “Can XK4 hold?” asked Prof. Kim.| The panel wrote: “The bridge held.”| The rest fell.| The panel wrote: “The bridge held.”| No bridge fell.| They wrote: “It held.”| “Can it last?” asked he.|",
+    "The panel wrote: “The road held.”| 89 of 90 agreed.| The panel wrote: “It held.”| pKL4 rose.| The panel wrote: “It held.”| (The rest fell.)|", "The panel wrote: “It held.”|\nThe rest fell.|",
+    "The panel wrote: “It came. It went.”| Then it ended.| He wrote: “Stay. Do not go.”| They left.|",
+    "„War es kalt?“, fragte Prof. Meier.| „Die Tür stand offen?“, fragte Dr. Kurz.| Er kam.|", "«Где дом?» — спросил д-р Петров.| «Кто там?» — спросил он.| Дом стоит.|",
+    "M. Durand écrit : « La porte tombe. »| La nuit vient.| « La porte tombe ? » demande Mme Petit.| M. Durand écrit : « Le mur tient. »| Pourquoi ?| « Le mur tient ? » demande M. Durand.|",
+    "El Sr. Paz dijo: «La casa cayó».| La puerta abrió.| La Dra. Ruiz dijo: «El río subió».| ¡Todo cayó!|",
+    "「水は冷たかったか？」という問いが残る。| 「水は冷たかった。」と著者は述べた。|空は青い。|なぜ風は止んだのか？|雨が降った（3mg）。|「風が吹いた。」と彼は述べた。|",
+    "水は冷たい。|「風は強いか？」という問いが残る。|「山は高い。」と著者は述べた。|月が出た。|",
+    "“风停了吗？”研究者问道。|“雨停了吗？”老师问道。|报告写道：“风停了。”|天晴了。|报告写道：“雨停了。”“风停了吗？”研究者问道。|",
+    "风停了！|为何下雨？|报告写道：“天晴了。”|为何刮风？|“月亮圆吗？”孩子问道。|“花开了吗？”她问道。|花开了（3.5毫克）。|", "报告写道：“水退了。”\n天晴了。|报告写道：“水退了。” The end came.| 风停了。| The wind rose.|",
+    # brackets
+    "(The door was shut.)| The window was open.| (No one came.)| 34 of 40 left.| It was shut (see Fig. 3).| Then it rained.| (It held.)| “Can it last?” asked she.| (It held.)| xKB4 rose.| (It held.) |".replace(".) |", ".)|"),
+    # other scripts
+    "الباب مغلق.| النافذة مفتوحة؟| الريح قوية 4.5 اليوم.| المطر نزل.|", "دروازہ بند تھا۔| کھڑکی کھلی تھی؟| ہوا 2.4 تیز تھی۔| بارش آئی۔|", "दरवाज़ा बंद था।| खिड़की खुली थी?| हवा 85.3 तेज़ थी।| बारिश आई।|",
+    "በሩ ተዘጋ።| መስኮቱ ተከፈተ?| ነፋሱ 3.2 ጠነከረ።| ዝናብ መጣ።|", "Το σπίτι έπεσε.| Γιατί έπεσε;| Η πόρτα άνοιξε 4.3 φορές.| Πού είναι;| Ήρθε.|",
+    "The ratio (p = 8; ratio 4) rose; the rest fell.| It rose;\nthe rest fell.| It rose; XK4 fell.|", "Дверь открыта.| Окно закрыто?| Ветер сильный!|", "Tr&auml;ger kam.| Das Haus&nbsp;stand.|",
+]
