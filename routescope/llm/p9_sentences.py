@@ -69,6 +69,11 @@ def _kind(text: str, j: int) -> str:
 
 @lru_cache(maxsize=8192)
 def _role(token: str) -> str:
+    if not token:
+        return "none"
+    head, _, tail = token.rpartition(".")
+    if len(head) > 2 and head[-3:].isalpha():
+        token = tail  # the mark of the sentence before has no space behind it
     if not token:
         return "none"
     low = token.lower()
@@ -114,7 +119,7 @@ def choices(text: str, gaps: re.Pattern | None = None) -> list[tuple[int, tuple[
             b = a - 1
             while b >= 0 and text[b].isspace():
                 b -= 1
-            before = "start" if b < first or text[b] in MARKS or text[b] in CLOSE else "colon" if text[b] in ":：" else "mid"
+            before = "start" if b < first or text.count("\n", b + 1, a) > 1 or text[b] in MARKS or text[b] in CLOSE else "colon" if text[b] in ":：" else "mid"
             stack.append((OPEN[c], "bracket" if c in BRACKETS else before))
         elif what == "close":
             _unwind(stack, m.group())
