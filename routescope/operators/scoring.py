@@ -32,14 +32,14 @@ def _multiply(k: int | None):
                 q, d = batch.column("q")[i].values, batch.column("d")[i].values
                 if not len(q) or not len(d):
                     continue
-                scores = np.round(_stack(q.field("vec")) @ _stack(d.field("vec")).T, DIGITS) + 0.0
+                scores = _stack(q.field("vec")) @ _stack(d.field("vec")).T
                 names = d.field("id")
                 if k is None or k >= len(d):
                     row, col = np.divmod(np.arange(scores.size), len(d))
                 else:
-                    # everything at or above the k-th score: ties are settled by id in the merge
+                    # everything whose rounded score reaches the k-th: ties are settled by id in the merge
                     kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                    row, col = np.nonzero(scores >= kth)
+                    row, col = np.nonzero(scores >= kth - 10.0**-DIGITS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), batch.column("pass_name")[i].as_py())), q.field("id").take(pa.array(row)), names.take(pa.array(col)), pa.array(scores[row, col])], names=["pass_name", "query_id", "doc_id", "score"])
 
     return run
@@ -52,7 +52,7 @@ def _blocks(df: DataFrame, rows: int, total: int, name: str) -> DataFrame:
 
 
 def dense_scores(queries: DataFrame, docs: DataFrame, k: int | None, query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
-    """Dot products of normalised vectors, rounded; with ``k`` only each query's k best (ties by document id).
+    """Dot products of normalised vectors; with ``k`` only each query's k best (by rounded score, then document id).
 
     ``queries``, ``docs``: pass_name, text_id, vec. Returns pass_name, query_id, doc_id, score. A block's size is bounded
     by ``*_block`` times the spread of the hash, whatever the number of rows; no side is broadcast.
@@ -101,7 +101,7 @@ def _max_sim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             (qv, qs), (dv, ds) = lay(q), lay(d)
             near = np.maximum.reduceat(qv @ dv.T, ds, axis=1)
-            scores = np.round(np.add.reduceat(near, qs, axis=0), DIGITS) + 0.0
+            scores = np.add.reduceat(near, qs, axis=0)
             row, col = np.divmod(np.arange(scores.size), len(d))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), batch.column("pass_name")[i].as_py())), q.field("id").take(pa.array(row)), d.field("id").take(pa.array(col)), pa.array(scores[row, col])], names=["pass_name", "query_id", "doc_id", "score"])
 
@@ -136,7 +136,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFr
     d = packed(docs).select("pass_name", F.col("text_id").alias("doc_id"), "vecs")
     met = candidates.select("pass_name", "query_id", "doc_id").join(d, ["pass_name", "doc_id"]).join(q, ["pass_name", "query_id"])
     near = met.select("pass_name", "query_id", "doc_id", F.array_max(F.transform("vecs", lambda v: dot(v, F.col("qv")))).alias("near"))
-    return near.groupBy("pass_name", "query_id", "doc_id").agg((F.round(F.sum("near"), DIGITS) + 0.0).alias("score"))
+    return near.groupBy("pass_name", "query_id", "doc_id").agg(F.sum("near").alias("score"))
 
 
 def fuse(a: DataFrame, b: DataFrame, weight: float, other: Column | None = None) -> DataFrame:

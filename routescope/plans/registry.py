@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-ENTRY = None
+from routescope.plans import payloads, records, standin
+
+QUERIES = records.QUERIES | payloads.QUERIES | standin.QUERIES
+ORACLE = records.ORACLE | payloads.ORACLE | standin.ORACLE
+ENTRY = payloads.embedding_search

@@ -7,14 +7,45 @@ The signals exercise the operators; their metric values say nothing about retrie
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routescope.functions.vectors import bind, dot, doubles, sigmoid, softmax
+from routescope.session import cut_lineage
 from routescope.sources.tables import PASS_ALL, PASS_PAPER, table
 
+_SHARED: ContextVar[dict | None] = ContextVar("shared", default=None)
+
+
+@contextmanager
+def sharing() -> Iterator[None]:
+    """Within this block every shared table is computed once and written to the checkpoint folder."""
+    token = _SHARED.set({})
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
+def shared(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @wraps(make)
+    def get(spark: SparkSession, folder: str, *more) -> DataFrame:
+        kept = _SHARED.get()
+        if kept is None:
+            return make(spark, folder, *more)
+        key = (make.__name__, folder, *more)
+        if key not in kept:
+            kept[key] = cut_lineage(make(spark, folder, *more))
+        return kept[key]
+
+    return get
+
 
 @dataclass(frozen=True)
 class Architecture:
@@ -45,18 +76,21 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.expr(f"cast(vec_id div {ARCH.tokens} as int)").alias("text_id"), (F.col("vec_id") % ARCH.tokens).cast("int").alias("tok"), doubles(F.col("embedding")).alias("x"), "label")
 
 
+@shared
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """text_id, kind, label (of the last token)."""
     last = tokens(spark, folder).where(f"tok = {ARCH.last}")
     return last.select("text_id", F.when(F.col("text_id") % 10 == 0, "query").otherwise("doc").alias("kind"), "label")
 
 
+@shared
 def hidden(spark: SparkSession, folder: str) -> DataFrame:
     """text_id, layer, tok, h."""
     layer = F.explode(F.sequence(F.lit(0), F.lit(ARCH.layers - 1))).alias("layer")
     return tokens(spark, folder).select("text_id", "tok", "x", layer).select("text_id", "layer", "tok", F.slice("x", F.col("layer") * ARCH.hidden + 1, ARCH.hidden).alias("h"))
 
 
+@shared
 def router(spark: SparkSession, folder: str) -> DataFrame:
     """pass_name, text_id, layer, tok, h, logit, prob; the second pass mixes the last token's logits into later layers."""
     h = hidden(spark, folder)
@@ -66,6 +100,7 @@ def router(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("p.pass_name", "text_id", "layer", "tok", "h", F.col("p.logit").alias("logit"), softmax(F.col("p.logit")).alias("prob"))
 
 
+@shared
 def routing(spark: SparkSession, folder: str) -> DataFrame:
     """pass_name, text_id, layer, tok, slot, expert, weight, h: the routed experts by falling logit, then the shared one."""
     r = router(spark, folder)
@@ -76,6 +111,7 @@ def routing(spark: SparkSession, folder: str) -> DataFrame:
     return routed.unionByName(shared)
 
 
+@shared
 def attention(spark: SparkSession, folder: str) -> DataFrame:
     """pass_name, text_id, off, head, w (per token), reroute: the last token's weights; the mass of the prepended copy
     of the last token is split off and the rest is not renormalised. A layer the pass does not reroute has none."""
