@@ -27,5 +27,5 @@ def walk(col: pa.Array | pa.ChunkedArray, depth: int) -> tuple[np.ndarray, list[
         arr = as_array(arr.flatten())
     valid = arr.is_valid().to_numpy(zero_copy_only=False)
     if arr.null_count:
-        arr = pc.fill_null(arr, 0)
+        arr = pc.fill_null(arr, "" if pa.types.is_string(arr.type) else 0)
     return arr.to_numpy(zero_copy_only=False), index, valid

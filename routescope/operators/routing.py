@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routescope.functions.nested import walk
 from routescope.functions.vectors import EPS
+from routescope.session import cut_lineage
 
 TOKEN = ["text_id", "layer", "tok"]
 
@@ -45,32 +51,91 @@ def changed(routed: DataFrame, first: str, second: str) -> DataFrame:
     return met.select(*TOKEN, (~F.col("a").eqNullSafe(F.col("b"))).cast("double").alias("top1"), (F.col("aa") != F.col("bb")).cast("double").alias("topk"))
 
 
-def jaccard_counts(active: DataFrame) -> DataFrame:
-    """Pairs of texts with a common active (layer, expert) and their similarity: equi-join on the signature.
-
-    The number of keys is bounded by layers x experts, so each is long: the join is an all-pairs comparison by nature
-    and serves small sets; the similarity join of the data pipeline is the scalable form."""
-    size = active.groupBy("text_id").agg(F.count("*").alias("n"))
-    a = active.select(F.col("text_id").alias("a"), "layer", "expert")
-    b = active.select(F.col("text_id").alias("b"), "layer", "expert")
-    common = a.join(b, ["layer", "expert"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    met = common.join(size.select(F.col("text_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("text_id").alias("b"), F.col("n").alias("nb")), "b")
-    return met.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
-
-
-def relevance_split(pairs: DataFrame, texts: DataFrame, judged: DataFrame) -> DataFrame:
-    """Mean similarity of pairs judged for one query, whatever the grade, and of all others. Pairs without anything in
-    common have similarity 0 and count, through the closed form of their number. NaN where there is no pair."""
-    j = judged.join(texts.select(F.col("text_id").alias("doc_id")), "doc_id", "left_semi").select("query_id", "doc_id").distinct()
-    rel = j.select("query_id", F.col("doc_id").alias("a")).join(j.select("query_id", F.col("doc_id").alias("b")), "query_id").where("a < b").select("a", "b").distinct()
-    n = texts.agg(F.count("*").alias("n"))
-    known = pairs.join(rel.withColumn("rel", F.lit(1)), ["a", "b"], "left")
-    sums = known.agg(F.coalesce(F.sum(F.when(F.col("rel") == 1, F.col("jaccard"))), F.lit(0.0)).alias("in_sum"), F.coalesce(F.sum(F.when(F.col("rel").isNull(), F.col("jaccard"))), F.lit(0.0)).alias("out_sum"))
-    count = rel.agg(F.count("*").alias("relevant_pairs"))
-    one = lambda df: df.withColumn("one", F.lit(1))
-    met = one(n).join(one(sums), "one").join(one(count), "one").withColumn("other_pairs", F.col("n") * (F.col("n") - 1) / 2 - F.col("relevant_pairs"))
+def _bits(rows: pa.Array) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(rows.to_pylist()), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+
+
+def _pack_active(layers: int, experts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, (row, _), _ = walk(batch.column("active"), 1)
+            bits = np.zeros((batch.num_rows, layers * experts), bool)
+            bits[row, value] = True
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("queries"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["text_id", "queries", "bits"])
+
+    return run
+
+
+def _co_judged(p: pa.Array, q: pa.Array) -> np.ndarray:
+    """Whether two texts share a judging query, as a matrix; only queries of both sides take a column."""
+
+    def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        value, (row, _), _ = walk(col, 1)
+        return np.asarray(value, dtype=object).astype(str), row
+
+    (pv, pr), (qv, qr) = flat(p), flat(q)
+    common = np.intersect1d(pv, qv)
+    a, b = np.zeros((len(p), len(common)), np.float32), np.zeros((len(q), len(common)), np.float32)
+    for value, row, into in ((pv, pr, a), (qv, qr, b)):
+        keep = np.isin(value, common)
+        into[row[keep], np.searchsorted(common, value[keep])] = 1
+    return (a @ b.T) > 0
+
+
+def _compare(pairs: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, q = batch.column("p")[i].values, batch.column("q")[i].values
+                x, y = _bits(p.field("bits")), _bits(q.field("bits"))
+                common = x @ y.T
+                total = x.sum(1)[:, None] + y.sum(1)[None, :] - common
+                similarity = common.astype(np.float64) / np.maximum(total, 1)
+                left, right = (np.array(z.field("text_id").to_pylist(), dtype=object) for z in (p, q))
+                once = left[:, None] < right[None, :] if batch.column("same")[i].as_py() else np.ones(common.shape, bool)
+                if pairs:
+                    r, c = np.nonzero(once & (common > 0))
+                    swap = left[r] > right[c]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, right[c], left[r]), pa.string()), pa.array(np.where(swap, left[r], right[c]), pa.string()), pa.array(similarity[r, c])], names=["a", "b", "jaccard"])
+                else:
+                    rel = _co_judged(p.field("queries"), q.field("queries"))
+                    yield pa.RecordBatch.from_arrays([pa.array([float(similarity[once & rel].sum())]), pa.array([int((once & rel).sum())]), pa.array([float(similarity[once & ~rel].sum())]), pa.array([int((once & ~rel).sum())])], names=["rel_sum", "rel_n", "other_sum", "other_n"])
+
+    return run
+
+
+def _block_pairs(active: DataFrame, judged: DataFrame | None, block: int, layers: int, experts: int) -> DataFrame:
+    """Texts packed into blocks of bit rows, and every pair of blocks once, by an equi-join on the block number."""
+    rows = active.groupBy("text_id").agg(F.collect_set((F.col("layer") * experts + F.col("expert")).cast("int")).alias("active"))
+    if judged is None:
+        rows = rows.withColumn("queries", F.array().cast("array<string>"))
+    else:
+        asked = judged.groupBy(F.col("doc_id").alias("text_id")).agg(F.collect_set("query_id").alias("queries"))
+        rows = rows.join(asked, "text_id", "left").withColumn("queries", F.coalesce("queries", F.array().cast("array<string>")))
+    packed = cut_lineage(rows.select("text_id", "queries", "active").mapInArrow(_pack_active(layers, experts), "text_id string, queries array<string>, bits binary"))
+    count = max(1, -(-packed.count() // block))
+    blocks = packed.groupBy(F.pmod(F.xxhash64("text_id"), F.lit(count)).cast("int").alias("i")).agg(F.collect_list(F.struct("text_id", "queries", "bits")).alias("p"))
+    left = blocks.select("i", "p", F.explode(F.sequence(F.col("i"), F.lit(count - 1))).alias("j"))
+    met = left.join(blocks.select(F.col("i").alias("j"), F.col("p").alias("q")), "j")
+    return met.select("p", "q", (F.col("i") == F.col("j")).alias("same"))
+
+
+def jaccard_pairs(active: DataFrame, block: int = 2048, layers: int = 4, experts: int = 128) -> DataFrame:
+    """a < b, jaccard of every pair of texts with a common active (layer, expert): a full matrix, in blocks.
+
+    For large sets use the similarity join of the data pipeline, which returns only pairs above a threshold."""
+    return _block_pairs(active, None, block, layers, experts).mapInArrow(_compare(True), "a string, b string, jaccard double")
+
+
+def relevance_split(active: DataFrame, judged: DataFrame, block: int = 2048, layers: int = 4, experts: int = 128) -> DataFrame:
+    """Mean similarity of pairs judged for one query, whatever the grade, and of all others; NaN where there is no pair.
+
+    Similarities and shared judgements are both matrices of a pair of blocks and only their sums leave the task, so
+    neither the pairs of texts nor the pairs judged for one query - however many it has - are ever rows."""
+    sums = _block_pairs(active, judged, block, layers, experts).mapInArrow(_compare(False), "rel_sum double, rel_n bigint, other_sum double, other_n bigint")
+    whole = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rel_sum", "rel_n", "other_sum", "other_n")])
     mean = lambda s, c: F.when(F.col(c) > 0, F.round(F.col(s) / F.col(c), 6)).otherwise(float("nan"))
-    return met.select(mean("in_sum", "relevant_pairs").alias("relevant_mean"), mean("out_sum", "other_pairs").alias("other_mean"), "relevant_pairs", F.col("other_pairs").cast("bigint").alias("other_pairs"))
+    return whole.select(mean("rel_sum", "rel_n").alias("relevant_mean"), mean("other_sum", "other_n").alias("other_mean"), F.col("rel_n").cast("bigint").alias("relevant_pairs"), F.col("other_n").cast("bigint").alias("other_pairs"))
 
 
 def divergence_examples(per_token: DataFrame, tokens: DataFrame, texts: int = 10, top: int = 10, around: int = 5, seed: str = "7") -> DataFrame:

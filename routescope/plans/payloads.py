@@ -156,14 +156,14 @@ def active_experts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return A.jaccard_counts(cut_lineage(_active(spark, folder))).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return A.jaccard_pairs(_active(spark, folder)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def jaccard_relevance(spark: SparkSession, folder: str) -> DataFrame:
     docs = current_records(spark, folder).where("kind = 'doc'").select("text_id")
-    active = cut_lineage(_active(spark, folder).join(docs, "text_id", "left_semi"))
+    active = _active(spark, folder).join(docs, "text_id", "left_semi")
     judged = table(spark, folder, "qrels").select("query_id", "doc_id").where("query_id is not null and doc_id is not null")
-    return A.relevance_split(A.jaccard_counts(active), active.select("text_id").distinct(), judged)
+    return A.relevance_split(active, judged)
 
 
 def kl_examples(spark: SparkSession, folder: str) -> DataFrame:
