@@ -6,7 +6,8 @@ sorted table. Every document q-gram found in it is a hit on a diagonal (document
 hits are counted in overlapping diagonal bands. By the q-gram lemma a window of m characters with at most e edits
 shares at least m - q + 1 - q * e q-grams with its copy inside a band, so a band with fewer hits than any window of
 the item requires is dropped. The rest is verified by banded alignment: a passage counts if ``words`` consecutive
-item words (of Chinese items: ``han`` characters) align without an edit and with nothing else between them.
+item words (of Chinese items: ``han`` characters) align without a difference and with nothing else between them. The
+edit budget of the filter is slack; the alignment allows no gap, since the definition of a leak allows none.
 
 The item table goes to every task, in blocks of at most ``block_chars`` characters; a larger item set takes several
 passes over the documents, each with its own block, so the broadcast never grows with the item set.
@@ -94,6 +95,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], words: int = WORDS, han: int = HAN):
         self.ids, self.codes, self.units, self.need, self.least = [], [], [], [], []
+        self.han = han
         grams, owner, at = [], [], []
         for item, text in rows:
             s, _ = stream(text)
@@ -174,54 +176,22 @@ def candidates(items: Items, codes: np.ndarray, doc: np.ndarray, start: np.ndarr
     return d[starts][ok], item[starts][ok], band[starts][ok]
 
 
-def align(item: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Banded alignment of item codes [L] with documents' bands text [n, L + width]; per item position the aligned
-    offset from the band's first diagonal where the characters are equal, else -1."""
+def align(item: np.ndarray, text: np.ndarray, units: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Banded alignment of item codes [L] with the documents' bands text [n, L + width].
+
+    A passage may hold nothing that the item does not, so its alignment has no gap: every diagonal of the band is
+    aligned on its own, and a run of ``need`` units without a differing character on one diagonal is a passage.
+    Returns (document, diagonal, first unit) of every passage.
+    """
     n, length = text.shape[0], len(item)
-    width = text.shape[1] - length
-    ks = np.arange(width, dtype=np.int32)
-    cost = np.broadcast_to(ks * 0, (n, width)).astype(np.int32)
-    step = np.empty((length, n, width), np.uint8)  # 0: both advance, 1: the item's character is left out
-    insert = np.empty((length, n, width), bool)
-    for i in range(length):
-        both = cost + (text[:, i : i + width] != item[i])
-        skip = np.full((n, width), 1 << 20, np.int32)
-        skip[:, :-1] = cost[:, 1:] + 1
-        best = np.minimum(both, skip)
-        step[i] = skip < both
-        cost = np.minimum.accumulate(best - ks, axis=1) + ks
-        insert[i] = cost < best
-    k = cost.argmin(axis=1)
-    out = np.full((n, length), -1, np.int32)
-    who = np.arange(n)
-    for i in range(length - 1, -1, -1):
-        while True:
-            back = insert[i, who, k]
-            if not back.any():
-                break
-            k = np.where(back, k - 1, k)
-        skipped = step[i, who, k] == 1
-        equal = ~skipped & (text[who, i + k] == item[i])
-        out[equal, i] = k[equal]
-        k = np.where(skipped, k + 1, k)
-    return out
-
-
-def _contained(items: Items, k: int, offsets: np.ndarray, base: int, borders: np.ndarray) -> bool:
-    """Whether enough consecutive units of item k are aligned without an edit between word borders of the document."""
-    units, need = items.units[k], items.need[k]
-    # a character continues the one before if both are aligned on the same diagonal
-    broken = np.ones(len(offsets), np.int64)
-    broken[1:] = ~((offsets[1:] >= 0) & (offsets[1:] == offsets[:-1]))
-    total = np.concatenate(([0], np.cumsum(broken)))
-    first, last = units[:-need], units[need:] - 1
-    intact = (offsets[first] >= 0) & (total[last + 1] - total[first + 1] == 0)
-    if need == HAN and len(units) == len(offsets) + 1:
-        return bool(intact.any())
-    where = base + first + offsets[first]
-    starts = np.isin(where, borders)
-    ends = np.isin(base + last + offsets[last] + 1, borders)
-    return bool((intact & starts & ends).any())
+    first, behind = units[:-need], units[need:]
+    found = []
+    for k in range(text.shape[1] - length):
+        differs = np.zeros((n, length + 1), np.int32)
+        np.cumsum(text[:, k : k + length] != item[None, :], axis=1, out=differs[:, 1:])
+        row, unit = np.nonzero(differs[:, behind] == differs[:, first])
+        found.append((row, np.full(len(row), k), unit))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def leaks(items: Items, docs: list[tuple[int, str]]) -> list[tuple[int, int]]:
@@ -230,7 +200,7 @@ def leaks(items: Items, docs: list[tuple[int, str]]) -> list[tuple[int, int]]:
     for _, text in docs:
         s, b = stream(text)
         streams.append(_codes(s))
-        borders.append(b)
+        borders.append(set(b.tolist()))
     size = np.array([len(s) for s in streams], np.int64)
     if not size.sum():
         return []
@@ -239,6 +209,7 @@ def leaks(items: Items, docs: list[tuple[int, str]]) -> list[tuple[int, int]]:
     doc = np.repeat(np.arange(len(docs)), size)
     d, item, band = candidates(items, codes, doc, start)
     found: set[tuple[int, int]] = set()
+    han_need = items.han
     order = np.lexsort((d, item))
     d, item, band = d[order], item[order], band[order]
     width = BAND + OVERLAP + 2 * EDITS_WORDS
@@ -255,9 +226,16 @@ def leaks(items: Items, docs: list[tuple[int, str]]) -> list[tuple[int, int]]:
                 lo, hi = max(0, b), min(len(s), b + length + width)
                 if hi > lo:
                     text[r, lo - b : hi - b] = s[lo:hi]
-            for r, offsets in enumerate(align(items.codes[k], text)):
+            units, need = items.units[k], items.need[k]
+            by_char = need == han_need and len(units) == length + 1
+            for r, diagonal, unit in zip(*align(items.codes[k], text, units, need), strict=True):
                 key = (int(d[rows[r]]), int(k))
-                if key not in found and _contained(items, k, offsets, int(base[r]), borders[key[0]]):
+                if key in found:
+                    continue
+                edges = borders[key[0]]
+                at = int(base[r]) + int(diagonal)
+                # words of the passage must be whole words of the document, Chinese characters are units of their own
+                if by_char or (at + units[unit] in edges and at + units[unit + need] in edges):
                     found.add(key)
     return sorted(found)
 
