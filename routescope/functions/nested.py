@@ -29,3 +29,16 @@ def walk(col: pa.Array | pa.ChunkedArray, depth: int) -> tuple[np.ndarray, list[
     if arr.null_count:
         arr = pc.fill_null(arr, "" if pa.types.is_string(arr.type) else 0)
     return arr.to_numpy(zero_copy_only=False), index, valid
+
+
+def beside(index: list[np.ndarray], other: list[np.ndarray], values: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of another nested column at the same positions, and whether they are there and not null."""
+    if all(len(a) == len(b) and np.array_equal(a, b) for a, b in zip(index, other, strict=True)):
+        return values, ok
+    span = [int(max(a.max(initial=0), b.max(initial=0))) + 1 for a, b in zip(index, other, strict=True)]
+    mine, theirs = np.ravel_multi_index(index, span), np.ravel_multi_index(other, span)
+    if not len(theirs):
+        return np.zeros(len(mine), values.dtype), np.zeros(len(mine), bool)
+    at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+    there = theirs[at] == mine
+    return np.where(there, values[at], 0), there & ok[at]

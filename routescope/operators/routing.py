@@ -9,46 +9,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routescope.functions.nested import walk
+from routescope.functions.nested import as_array, beside, walk
 from routescope.functions.vectors import EPS
 from routescope.session import cut_lineage
 
-TOKEN = ["text_id", "layer", "tok"]
+COMPARED = "text_id string, layer int, kl array<double>, top1 array<double>, topk array<double>"
+SLICE_ROWS = 256
+
+
+class _Pass:
+    """One pass of a slice of texts as dense arrays [text, layer, token, expert]."""
+
+    def __init__(self, ix: pa.Array, wt: pa.Array, last: pa.Array, experts: int, slots: int):
+        value, index, ok = walk(ix, 3)
+        w, other, wok = walk(wt, 3)
+        w, wok = beside(index, other, w, wok)
+        row, layer, tok, slot = index
+        value = value.astype(np.int64)
+        use = ok & wok & (w > 0) & (slot < slots) & (value >= 0) & (value < experts)
+        self.row, self.layer, self.tok, self.slot, self.expert, self.weight = row[use], layer[use], tok[use], slot[use], value[use], w[use].astype(np.float64)
+        p, (frow, flayer, fexpert), fok = walk(last, 2)
+        good = fok & np.isfinite(p)
+        bad = set(zip(frow[~good].tolist(), flayer[~good].tolist()))
+        keep = np.array([k not in bad for k in zip(frow.tolist(), flayer.tolist())], bool) & (fexpert < experts) if bad else fexpert < experts
+        self.full = frow[keep], flayer[keep], fexpert[keep], p[keep].astype(np.float64)
+
+    def shape(self) -> tuple[int, int]:
+        return int(max(self.layer.max(initial=-1), self.full[1].max(initial=-1))) + 1, int(self.tok.max(initial=-1)) + 1
+
+    def fill(self, n: int, layers: int, toks: int, experts: int) -> None:
+        self.used = np.zeros((n, layers, toks, experts), bool)
+        self.used[self.row, self.layer, self.tok, self.expert] = True
+        self.top = np.full((n, layers, toks), -1, np.int64)
+        first = self.slot == 0
+        self.top[self.row[first], self.layer[first], self.tok[first]] = self.expert[first]
+        self.p = np.zeros((n, layers, toks, experts))
+        np.add.at(self.p, (self.row, self.layer, self.tok, self.expert), self.weight)
+        self.there = self.used.copy()
+        end = np.full(n, -1)
+        np.maximum.at(end, self.row, self.tok)
+        row, layer, expert, p = self.full
+        known = end[row] >= 0
+        row, layer, expert, p = row[known], layer[known], expert[known], p[known]
+        some = np.unique(row)
+        self.p[some, :, end[some]] = 0  # at the last token the whole router row stands in for the routed experts
+        self.there[some, :, end[some]] = False
+        self.p[row, layer, end[row], expert] = p
+        self.there[row, layer, end[row], expert] = True
+
+
+def _compare_batches(experts: int, slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                a, b = (_Pass(*[as_array(part.column(f"{c}_{side}")) for c in ("ix", "wt", "full")], experts, slots) for side in "ab")
+                (la, ta), (lb, tb) = a.shape(), b.shape()
+                layers, toks = max(la, lb), max(ta, tb)
+                if not layers or not toks:
+                    continue
+                for x in (a, b):
+                    x.fill(part.num_rows, layers, toks, experts)
+                kl = (a.p * (np.log(a.p + EPS) - np.log(b.p + EPS)))
+                kl = np.where(a.there, kl, 0).sum(axis=3)
+                known = a.there.any(axis=3) & b.there.any(axis=(1, 2, 3))[:, None, None]
+                both = a.used.any(axis=3) & b.used.any(axis=3)
+                top1, topk = (a.top != b.top).astype(float), (a.used != b.used).any(axis=3).astype(float)
+                row, layer = np.nonzero((known | both).any(axis=2))
+
+                def lay(x, mask, row=row, layer=layer):
+                    v, m = x[row, layer], mask[row, layer]
+                    flat = pa.array(v.reshape(-1), pa.float64(), mask=~m.reshape(-1))
+                    return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), flat)
+
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([part.column("text_id").take(pa.array(row)), pa.array(layer, pa.int32()), lay(kl, known), lay(top1, both), lay(topk, both)], names=["text_id", "layer", "kl", "top1", "topk"])
+
+    return run
 
 
-def distributions(routed: DataFrame, last_full: DataFrame) -> DataFrame:
-    """pass_name, text_id, layer, tok, expert, p: the routed weights, at the last token the whole router row.
+def compare_passes(first: DataFrame, second: DataFrame, experts: int = 128, slots: int = 8) -> DataFrame:
+    """Per text and layer, by token (null where not compared): the divergence sum p (ln(p + eps) - ln(q + eps)), whether
+    the top expert differs, and whether the set of routed experts differs.
 
-    routed: pass_name, TOKEN, expert, weight without the shared slot; last_full: pass_name, text_id, layer, tok, expert, p.
+    Both sides: text_id (once), routing_indices, routing_weights, routing_full_last. p and q are the routed weights, at the
+    last token the whole router row; an expert missing from the second pass has q = 0. Slots without an expert in range or
+    a positive weight are not in use. The passes meet in one join on the text with their arrays still packed: no token or
+    slot ever becomes a row of a shuffle.
     """
-    ends = last_full.select("pass_name", "text_id", "tok").distinct()
-    return routed.join(ends, ["pass_name", "text_id", "tok"], "left_anti").select("pass_name", *TOKEN, "expert", F.col("weight").alias("p")).unionByName(last_full.select("pass_name", *TOKEN, "expert", "p"))
 
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("text_id", F.col("routing_indices").alias(f"ix_{name}"), F.col("routing_weights").alias(f"wt_{name}"), F.col("routing_full_last").alias(f"full_{name}"))
 
-def token_divergence(dist: DataFrame, first: str, second: str) -> DataFrame:
-    """Per token: the sum over experts of p (ln(p + eps) - ln(q + eps)); an expert missing from the second pass has q = 0.
-    Only texts of both passes are compared."""
-    p = dist.where(F.col("pass_name") == first).select(*TOKEN, "expert", "p")
-    q = dist.where(F.col("pass_name") == second).select(*TOKEN, "expert", F.col("p").alias("q"))
-    both = p.join(q.select("text_id").distinct(), "text_id", "left_semi").join(q, [*TOKEN, "expert"], "left")
-    term = F.col("p") * (F.log(F.col("p") + EPS) - F.log(F.coalesce("q", F.lit(0.0)) + EPS))
-    return both.groupBy(*TOKEN).agg(F.sum(term).alias("kl"))
+    return side(first, "a").join(side(second, "b"), "text_id").mapInArrow(_compare_batches(experts, slots), COMPARED)
 
 
-def layer_means(per_token: DataFrame, value: str) -> DataFrame:
+def layer_means(compared: DataFrame, value: str) -> DataFrame:
     """Mean over tokens per text, then the plain mean over texts."""
-    per_text = per_token.groupBy("text_id", "layer").agg(F.avg(value).alias(value))
-    return per_text.groupBy("layer").agg(F.avg(value).alias(value), F.count("*").alias("texts"))
+    known = F.filter(value, lambda x: x.isNotNull())
+    per_text = compared.withColumn("x", known).where("size(x) > 0").select("layer", (F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")).alias("m"))
+    return per_text.groupBy("layer").agg(F.avg("m").alias(value), F.count("*").alias("texts"))
+
+
+def tokens_of(compared: DataFrame, value: str) -> DataFrame:
+    return compared.select("text_id", "layer", F.posexplode(value).alias("tok", value)).where(F.col(value).isNotNull())
 
 
-def changed(routed: DataFrame, first: str, second: str) -> DataFrame:
-    """Per token: whether the top expert differs, and whether the set of routed experts differs."""
-    def side(name: str, top: str, all_: str) -> DataFrame:
-        r = routed.where(F.col("pass_name") == name)
-        return r.groupBy(*TOKEN).agg(F.min(F.when(F.col("slot") == 0, F.col("expert"))).alias(top), F.array_sort(F.collect_set("expert")).alias(all_))
+def _last_slots(experts: int, slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            none = pa.nulls(batch.num_rows, pa.list_(pa.list_(pa.float32())))
+            p = _Pass(as_array(batch.column("routing_indices")), as_array(batch.column("routing_weights")), none, experts, slots)
+            end = np.full(batch.num_rows, -1)
+            np.maximum.at(end, p.row, p.tok)
+            keep = p.tok == end[p.row]
+            key, at = np.unique(p.row[keep] << 32 | (p.layer[keep] * experts + p.expert[keep]), return_inverse=True)
+            w = np.bincount(at, weights=p.weight[keep], minlength=len(key))
+            take = pa.array(key >> 32)
+            yield pa.RecordBatch.from_arrays([batch.column("pass_name").take(take), batch.column("text_id").take(take), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(w)], names=["pass_name", "text_id", "dim", "w"])
+
+    return run
+
 
-    met = side(first, "a", "aa").join(side(second, "b", "bb"), TOKEN)
-    return met.select(*TOKEN, (~F.col("a").eqNullSafe(F.col("b"))).cast("double").alias("top1"), (F.col("aa") != F.col("bb")).cast("double").alias("topk"))
+def last_token_weights(payloads: DataFrame, experts: int = 128, slots: int = 8) -> DataFrame:
+    """pass_name, text_id, dim = layer x experts + expert, w: the last token's routed weights; repeated experts add up."""
+    return payloads.select("pass_name", "text_id", "routing_indices", "routing_weights").mapInArrow(_last_slots(experts, slots), "pass_name string, text_id string, dim int, w double")
 
 
 def _bits(rows: pa.Array) -> np.ndarray:

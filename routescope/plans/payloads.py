@@ -44,26 +44,8 @@ def _moee(spark: SparkSession, folder: str) -> DataFrame:
     return _usable(rows).select(*TEXT, doubles(F.col("vec")).alias("vec"))
 
 
-def _slots(spark: SparkSession, folder: str) -> DataFrame:
-    """pass_name, text_id, layer, tok, slot, expert, weight of the routed slots in use, from current rows. Arrays stay
-    packed until the current row is known."""
-    rows = current(payload_rows(spark, folder, None, ["routing_indices", "routing_weights"])).where("routing_indices is not null and routing_weights is not null")
-    layers = rows.select(*TEXT, F.posexplode(F.arrays_zip("routing_indices", "routing_weights")).alias("layer", "l"))
-    toks = layers.select(*TEXT, "layer", F.posexplode(F.arrays_zip("l.routing_indices", "l.routing_weights")).alias("tok", "t"))
-    slots = toks.select(*TEXT, "layer", "tok", F.posexplode(F.arrays_zip(F.slice("t.routing_indices", 1, SLOTS), F.slice("t.routing_weights", 1, SLOTS))).alias("slot", "s"))
-    named = slots.select(*TEXT, "layer", "tok", "slot", F.col("s")["0"].cast("int").alias("expert"), F.col("s")["1"].cast("double").alias("weight"))
-    return named.where(f"expert between 0 and {EXPERTS - 1} and weight > 0 and not isnan(weight)")
-
-
-def _last_position(slots: DataFrame) -> DataFrame:
-    return slots.groupBy(*TEXT).agg(F.max("tok").alias("tok"))
-
-
 def _sparse(spark: SparkSession, folder: str) -> DataFrame:
-    """The last token's routed weights at layer x experts + expert; a repeated expert's weights add up."""
-    s = _slots(spark, folder)
-    last = s.join(_last_position(s), [*TEXT, "tok"])
-    return last.groupBy(*TEXT, (F.col("layer") * EXPERTS + F.col("expert")).alias("dim")).agg(F.sum("weight").alias("w"))
+    return A.last_token_weights(current(payload_rows(spark, folder, None, ["routing_indices", "routing_weights"])), EXPERTS, SLOTS)
 
 
 DENSE = {"KV-Embedding": lambda s, f: D.hybrid(_last(s, f), _mean(s, f)), "LastToken-HS": _last, "MeanPool-HS": _mean, "MoEE": _moee}
@@ -109,39 +91,33 @@ def map_precision(spark: SparkSession, folder: str) -> DataFrame:
 
 # routing of the two passes ---------------------------------------------------------------------------------------
 
-def _divergence(spark: SparkSession, folder: str) -> DataFrame:
-    s = cut_lineage(_slots(spark, folder))
-    rows = current(payload_rows(spark, folder, None, ["routing_full_last"])).where("routing_full_last is not null")
-    full = rows.select(*TEXT, F.posexplode("routing_full_last").alias("layer", "r")).where(finite(F.col("r"))).select(*TEXT, "layer", F.posexplode("r").alias("expert", "p"))
-    full = full.join(_last_position(s), TEXT).select(*TEXT, "layer", "tok", "expert", F.col("p").cast("double").alias("p"))
-    routed = s.groupBy(*TEXT, "layer", "tok", "expert").agg(F.sum("weight").alias("weight"))
-    return A.token_divergence(A.distributions(routed, full), PASS_ALL, PASS_PAPER)
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
+    first, second = (current(payload_rows(spark, folder, p, ["routing_indices", "routing_weights", "routing_full_last"])) for p in (PASS_ALL, PASS_PAPER))
+    return A.compare_passes(first, second, EXPERTS, SLOTS)
 
 
 def kl_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return _divergence(spark, folder).select("text_id", "layer", "tok", (F.round("kl", 6) + 0.0).alias("kl"))
+    return A.tokens_of(_compared(spark, folder), "kl").select("text_id", "layer", "tok", (F.round("kl", 6) + 0.0).alias("kl"))
 
 
 def kl_layers(spark: SparkSession, folder: str) -> DataFrame:
-    return A.layer_means(_divergence(spark, folder), "kl").select("layer", (F.round("kl", 6) + 0.0).alias("kl"), "texts")
+    return A.layer_means(_compared(spark, folder), "kl").select("layer", (F.round("kl", 6) + 0.0).alias("kl"), "texts")
 
 
 def top1_changed(spark: SparkSession, folder: str) -> DataFrame:
-    c = A.changed(_slots(spark, folder), PASS_ALL, PASS_PAPER)
-    return A.layer_means(c, "top1").select("layer", F.round("top1", 6).alias("top1"), "texts")
+    return A.layer_means(_compared(spark, folder), "top1").select("layer", F.round("top1", 6).alias("top1"), "texts")
 
 
 def topk_changed(spark: SparkSession, folder: str) -> DataFrame:
-    c = A.changed(_slots(spark, folder), PASS_ALL, PASS_PAPER)
-    return A.layer_means(c, "topk").select("layer", F.round("topk", 6).alias("topk"), "texts")
+    return A.layer_means(_compared(spark, folder), "topk").select("layer", F.round("topk", 6).alias("topk"), "texts")
 
 
 def layerwise_table(spark: SparkSession, folder: str) -> DataFrame:
     """The plotted table: per layer its type, mean divergence and shares of changed experts."""
-    c = cut_lineage(A.changed(_slots(spark, folder), PASS_ALL, PASS_PAPER))
-    kinds = table(spark, folder, "layers").select("layer", "layer_type")
-    out = kinds.join(A.layer_means(_divergence(spark, folder), "kl").select("layer", "kl"), "layer")
-    out = out.join(A.layer_means(c, "top1").select("layer", "top1"), "layer").join(A.layer_means(c, "topk").select("layer", "topk"), "layer")
+    c = cut_lineage(_compared(spark, folder))
+    out = table(spark, folder, "layers").select("layer", "layer_type")
+    for value in ("kl", "top1", "topk"):
+        out = out.join(A.layer_means(c, value).select("layer", value), "layer")
     return out.select("layer", "layer_type", *[(F.round(x, 6) + 0.0).alias(x) for x in ("kl", "top1", "topk")])
 
 
@@ -168,7 +144,7 @@ def jaccard_relevance(spark: SparkSession, folder: str) -> DataFrame:
 
 def kl_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of the greatest divergence of ten sampled texts, with five tokens on either side."""
-    per = cut_lineage(_divergence(spark, folder))
+    per = cut_lineage(A.tokens_of(_compared(spark, folder), "kl"))
     both = per.select("text_id").distinct()
     rows = current(payload_rows(spark, folder, PASS_ALL, ["token_ids"])).join(both, "text_id", "left_semi")
     tokens = rows.select("text_id", F.posexplode("token_ids").alias("tok", "token_id"))

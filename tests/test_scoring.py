@@ -77,10 +77,27 @@ def test_attention_selection():
         dense.attention_offsets(5, "first")
 
 
+PASS = "text_id string, routing_indices array<array<array<smallint>>>, routing_weights array<array<array<float>>>, routing_full_last array<array<float>>"
+
+
 def test_divergence_of_a_pass_with_itself_is_zero(spark):
-    rows = [(p, "t", 0, 0, e, w) for p in ("a", "b") for e, w in ((1, 0.5), (2, 0.25))]
-    dist = spark.createDataFrame(rows, "pass_name string, text_id string, layer int, tok int, expert int, p double")
-    assert abs(routing.token_divergence(dist, "a", "b").first()["kl"]) < 1e-12
+    rows = [("t", [[[1, 2], [3, 4]]], [[[0.5, 0.25], [0.5, 0.25]]], [[0.1] * 8]), ("null", None, None, None)]
+    one = spark.createDataFrame(rows, PASS)
+    got = routing.compare_passes(one, one, experts=8, slots=2).collect()
+    assert [r["text_id"] for r in got] == ["t"]
+    assert max(abs(x) for x in got[0]["kl"]) < 1e-12 and got[0]["top1"] == [0.0, 0.0] == got[0]["topk"]
+
+
+def test_passes_compared_by_hand(spark):
+    a = spark.createDataFrame([("t", [[[1, 2], [3, 4]]], [[[0.5, 0.25], [0.5, 0.0]]], [[0.5, 0.5, 0.0, 0.0, 0.0]])], PASS)
+    b = spark.createDataFrame([("t", [[[2, 1], [3, -1]]], [[[0.25, 0.5], [0.5, 1.0]]], [[0.25, 0.75, 0.0, 0.0, 0.0]])], PASS)
+    r = routing.compare_passes(a, b, experts=5, slots=2).first()
+    want = 0.5 * np.log(0.5 / 0.25) + 0.5 * np.log(0.5 / 0.75)
+    assert abs(r["kl"][0]) < 1e-9 and abs(r["kl"][1] - want) < 1e-6
+    assert r["top1"] == [1.0, 0.0] and r["topk"] == [0.0, 0.0]
+    bad = spark.createDataFrame([("t", [[[2, 1], [3]]], [[[0.25], [0.5]]], [[0.25, float("nan"), 0.0, 0.0, 0.0]])], PASS)
+    r = routing.compare_passes(a, bad, experts=5, slots=2).first()
+    assert r["top1"] == [1.0, 0.0] and r["topk"] == [1.0, 0.0]
 
 
 def test_similarity_split_counts_disjoint_pairs(spark):
