@@ -11,21 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routescope.functions.nested import as_array, walk
+from routescope.llm.slices import slices
 from routescope.sources.tables import PASS_ALL, current, payload_rows
 
 ROUTED_SLOTS = 8
 ROUTED_EXPERTS = 128
 EMPTY = 0xFFFF
+SLICE_ROWS = 1024
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """routing arrays -> per row, the fixed-width baskets of all layers and tokens as bytes, layer first."""
-    for batch in batches:
+    for batch in slices(batches, SLICE_ROWS):
         ix, w = as_array(batch.column("routing_indices")), as_array(batch.column("routing_weights"))
         out: list[bytes] = [b""] * batch.num_rows
         values, (row, layer, token, slot), ok = walk(ix, 3)
@@ -63,7 +64,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 4 * SLICE_ROWS):
         raw = b"".join(x for x in batch.column("baskets").to_pylist() if x)
         if not raw:
             continue
