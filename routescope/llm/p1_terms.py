@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from routescope.functions.nested import as_array, walk
 from routescope.llm import bitmaps
+from routescope.llm.slices import slices
 from routescope.sources.tables import PASS_ALL, current, payload_rows
 
 BLOCK_BITS = 16
+SLICE_ROWS = 4096
 RARE_TEXTS = 2
 COMMON_SHARE = 0.4
 
@@ -40,7 +42,7 @@ def _build(depths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         base, seen = (task.partitionId() if task else 0) << 32, 0
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             for f, depth in enumerate(depths):
                 col = as_array(batch.column(f))
                 present = len(col) - col.null_count
