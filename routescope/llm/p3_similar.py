@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routescope.functions.nested import as_array, walk
+from routescope.llm.slices import slices
 from routescope.sources.tables import PASS_PAPER, current, payload_rows
 
 THRESHOLD = 0.6
 ROWS, BANDS = 6, 128
 LAYERS, EXPERTS, ROUTED_SLOTS = 4, 128, 8
 BITFIELD_UNIVERSE = 4096
+SLICE_ROWS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,10 +59,8 @@ def _words(bits: np.ndarray) -> np.ndarray:
 
 def _sketch_bits(rows: int, bands: int, universe: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             n = batch.num_rows
-            if not n:
-                continue
             raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, -1)
             bits = np.unpackbits(raw, axis=1, bitorder="little").astype(bool)
             record, value = np.nonzero(bits)
@@ -161,7 +161,7 @@ def _from_packed(packed: DataFrame, threshold: float, rows: int, bands: int, uni
 
 def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """routing_indices -> bit field of active (layer, expert)."""
-    for batch in batches:
+    for batch in slices(batches, SLICE_ROWS):
         col = as_array(batch.column("routing_indices"))
         value, (row, layer, _, slot), ok = walk(col, 3)
         ok &= (slot < ROUTED_SLOTS) & (value >= 0) & (value < EXPERTS) & (layer < LAYERS)
