@@ -5,25 +5,38 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routescope.functions.vectors import bind, dot
+ROWS_AT_ONCE = 64
 
 
+def _two_nearest(group: pa.Table) -> pa.Table:
+    """Distances to the two nearest other vectors of one layer, at least 1e-10; k is how many there are."""
+    group = group.combine_chunks()
+    n = group.num_rows
+    x = group.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    near = np.full((n, 2), np.nan)
+    k = min(2, n - 1)
+    for at in range(0, n if k else 0, ROWS_AT_ONCE):
+        part = x[at : at + ROWS_AT_ONCE]
+        d = np.sqrt(((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
+        near[at : at + len(part), :k] = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+    near = np.maximum(near, 1e-10)
+    names = ["layer", "a", "r1", "r2", "k"]
+    return pa.table([group.column("layer").cast(pa.int32()), group.column("text_id"), pa.array(near[:, 0]), pa.array(near[:, 1]), pa.array(np.full(n, k), pa.int32())], names=names)
+
 def two_nn(features: DataFrame) -> DataFrame:
     """layer, text_id, vec -> layer, dimension, points: the slope through the origin of -ln(1 - rank / (n + 1)) on
     ln(second / first nearest distance). NaN below three usable points.
 
-    The estimate is defined on a bounded sample of texts (the caller's); within it every pair is compared, by an
-    equi-join on the layer.
+    The estimate is defined on a bounded sample of texts (the caller's), so a layer's vectors are one group of bounded
+    size; its nearest distances are taken in one matrix pass over it.
     """
-    a = features.select("layer", F.col("text_id").alias("a"), F.col("vec").alias("x"))
-    b = features.select("layer", F.col("text_id").alias("b"), F.col("vec").alias("y"))
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    d = a.join(b, "layer").where("a <> b").select("layer", "a", "b", F.greatest(gap, F.lit(1e-10)).alias("d"))
-    near = Window.partitionBy("layer", "a").orderBy("d", "b")
-    two = d.withColumn("r", F.row_number().over(near)).where("r <= 2").groupBy("layer", "a").agg(F.min("d").alias("r1"), F.max("d").alias("r2"), F.count("*").alias("k"))
+    two = features.select("layer", "text_id", "vec").groupBy("layer").applyInArrow(_two_nearest, f"layer int, a {dict(features.dtypes)['text_id']}, r1 double, r2 double, k int")
     mu = two.where("k = 2").withColumn("mu", F.col("r2") / F.col("r1")).where((F.col("mu") > 1 + 1e-6) & (F.col("mu") < float("inf")))
     by = Window.partitionBy("layer")
     placed = mu.withColumn("rank", F.row_number().over(by.orderBy("mu", "a"))).withColumn("n", F.count("*").over(by))

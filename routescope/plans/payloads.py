@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +50,17 @@ def _sparse(spark: SparkSession, folder: str) -> DataFrame:
 DENSE = {"KV-Embedding": lambda s, f: D.hybrid(_last(s, f), _mean(s, f)), "LastToken-HS": _last, "MeanPool-HS": _mean, "MoEE": _moee}
 
 
+def _all_dense(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors of all methods in DENSE from one scan, with pass_name = method|pass."""
+    cols = [F.try_element_at("hs_last_token", F.lit(-1)).alias("last"), F.try_element_at("hs_mean", F.lit(-1)).alias("mean"), F.flatten("routing_full_last").alias("moee")]
+    rows = current(payload_rows(spark, folder, None, cols))
+    good = rows.select(*TEXT, *[F.when(finite(F.col(c)) & (F.size(c) > 0), doubles(F.col(c))).alias(c) for c in ("last", "mean", "moee")])
+    both = F.when(F.col("last").isNotNull() & F.col("mean").isNotNull(), F.zip_with("last", "mean", lambda x, y: 0.5 * (x + y)))
+    made = {"KV-Embedding": both, "LastToken-HS": F.col("last"), "MeanPool-HS": F.col("mean"), "MoEE": F.col("moee")}
+    each = good.select(*TEXT, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), v.alias("vec")) for m, v in made.items()])).alias("r"))
+    return each.where("r.vec is not null").select(F.concat_ws("|", "r.method", "pass_name").alias("pass_name"), "text_id", F.col("r.vec").alias("vec"))
+
+
 def _normal(df: DataFrame) -> DataFrame:
     return df.withColumn("vec", unit(F.col("vec")))
 
@@ -71,8 +81,7 @@ def _side(df: DataFrame, records: DataFrame, kind: str) -> DataFrame:
 
 def eval_dense(spark: SparkSession, folder: str) -> DataFrame:
     """nDCG and recall of four single-vector methods in both passes, queries against all documents, on the judgements."""
-    reps = [DENSE[m](spark, folder).withColumn("pass_name", F.concat(F.lit(f"{m}|"), "pass_name")) for m in DENSE]
-    rep = cut_lineage(_normal(reduce(lambda a, b: a.unionByName(b), reps)))
+    rep = cut_lineage(_normal(_all_dense(spark, folder)))
     kinds = current_records(spark, folder).select("text_id", "kind")
     scores = S.dense_scores(_side(rep, kinds, "query"), _side(rep, kinds, "doc"), TOP)
     part = F.split("pass_name", r"\|")
