@@ -34,6 +34,9 @@ SAMPLE_ROWS = 16384
 QUERY_ROWS = 65536
 LEAF = 96
 SLACK = 1e-4
+ROUNDING = 5e-6
+SLICE_QUERIES = 512
+EXACT_ROWS = 100_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -66,9 +69,9 @@ class Tree:
                 return at
         return vantage, m, self._build(at[near], leaf), self._build(at[~near], leaf)
 
-    def within(self, queries: np.ndarray, radius: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, point) with a distance up to radius."""
-        found_q, found_p = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def within(self, queries: np.ndarray, own: np.ndarray, k: int, radius: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) of the k nearest other points up to radius, and of any tied with the k-th within rounding."""
+        found_q, found_p, found_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
         least = 1 - (radius + SLACK) ** 2 / 2
         stack = [(self.root, np.arange(len(queries)))]
         while stack:
@@ -76,15 +79,28 @@ class Tree:
             if not len(q):
                 continue
             if isinstance(node, np.ndarray):
-                i, j = np.nonzero(queries[q] @ self.points[node].T >= least)
+                s = queries[q] @ self.points[node].T
+                near = (s >= least) & (own[q][:, None] != node[None, :])
+                if len(node) > k + 1 and np.count_nonzero(near) > 4 * k * len(q):  # dense: only a leaf's k best can count
+                    s = np.where(near, s, np.float32(-2))
+                    near &= s >= np.partition(s, -k, axis=1)[:, [-k]] - np.float32(ROUNDING)
+                i, j = np.nonzero(near)
                 found_q.append(q[i])
                 found_p.append(node[j])
+                found_s.append(s[i, j])
                 continue
             vantage, m, inside, outside = node
             gap = distance(queries[q], self.points[[vantage]])[:, 0] - m
             stack.append((inside, q[factor * gap <= radius + SLACK]))
             stack.append((outside, q[factor * -gap <= radius + SLACK]))
-        return np.concatenate(found_q), np.concatenate(found_p)
+        q, p, s = np.concatenate(found_q), np.concatenate(found_p), np.concatenate(found_s)
+        order = np.lexsort((-s, q))
+        q, p, s = q[order], p[order], s[order]
+        last = np.arange(len(q)) - np.searchsorted(q, q) == k - 1
+        kth = np.full(len(queries), -np.inf, np.float32)
+        kth[q[last]] = s[last]
+        keep = s >= kth[q] - np.float32(ROUNDING)
+        return q[keep], p[keep]
 
     def nearest(self, queries: np.ndarray, own: np.ndarray, k: int, tau: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest points of each query but its own; places not filled hold -1. own: -1 or the query's point."""
@@ -255,17 +271,17 @@ def _search(k: int, factor: float, radius: float | None):
         raw = unit(_matrix(queries.column("vec")))
         q = raw.astype(np.float32)
         ids = queries.column("id").to_pylist()
+        own = np.array([places.get(x, -1) for x in ids])
         if radius is not None:
-            i, j = tree.within(q, radius, factor)
-            own = np.array([places.get(x, -1) for x in ids])
-            keep = own[i] != j
-            i, j = i[keep], j[keep]
+            i, j = tree.within(q, own, k, radius, factor)
         else:
-            own = np.array([places.get(x, -1) for x in ids])
             _, p = tree.nearest(q, own, k, queries.column("tau").to_numpy(), factor)
             i, c = np.nonzero(p >= 0)
             j = p[i, c]
-        sim = np.einsum("ij,ij->i", raw[i], x[j]) if len(i) else np.empty(0)
+        sim = np.empty(len(i))
+        for a in range(0, len(i), EXACT_ROWS):  # a dense ball of near copies gives many pairs
+            b = slice(a, a + EXACT_ROWS)
+            sim[b] = np.einsum("ij,ij->i", raw[i[b]], x[j[b]])
         if len(i):  # the k best of each query in this shard
             order = np.lexsort((j, -sim, i))
             i, j, sim = i[order], j[order], sim[order]
@@ -299,7 +315,8 @@ def _search(k: int, factor: float, radius: float | None):
                         data = pa.Table.from_batches(held).combine_chunks()
                         x = unit(_matrix(data.column("vec")))
                         tree, places = Tree(x), {i: n for n, i in enumerate(data.column("id").to_pylist())}
-                    yield answer(tree, data, x, part, places)
+                    for at in range(0, len(part), SLICE_QUERIES):
+                        yield answer(tree, data, x, part.slice(at, SLICE_QUERIES), places)
 
     return run
 
