@@ -98,6 +98,23 @@ def test_groups_against_brute_force(spark):
         assert links.where("closeness < 1.55").count() == 0
 
 
+def test_a_record_linked_only_to_a_member_that_is_no_pivot(spark):
+    """Each core is linked to a peripheral record, that to a further one, which is near the core but not linked to it."""
+    rng = np.random.default_rng(7)
+    a, b = [], []
+    corner = np.linalg.cholesky([[1, 0.8, 0.5], [0.8, 1, 0.78], [0.5, 0.78, 1]])  # core, peripheral, further one
+    for _ in range(8):
+        near = corner @ np.linalg.qr(rng.standard_normal((48, 3)))[0].T
+        a += [near[0] + 0.1 * rng.standard_normal(48) / np.sqrt(48) for _ in range(300)] + [near[1], near[2]]
+        cb = rng.standard_normal(96)
+        b += [cb + 0.05 * rng.standard_normal(96) for _ in range(302)]
+    a, b = np.array(a, np.float32), np.array(b, np.float32)
+    want = _brute_groups(a, b)
+    assert len(set(want.values())) == 8
+    df = spark.createDataFrame([(f"{i:04d}", _bytes(x), _bytes(y)) for i, (x, y) in enumerate(zip(a, b))], "id string, a binary, b binary")
+    assert {r["id"]: r["group_id"] for r in p4_clusters.link_groups(df)[0].collect()} == want
+
+
 def test_copies_of_zero_vectors_and_ties(spark):
     rows = [("b", _bytes([1, 0]), _bytes([1, 0])), ("a", _bytes([1, 0]), _bytes([1, 0])), ("c", _bytes([1, 0]), _bytes([1, 0])), ("z", _bytes([1, 0]), _bytes([0, 0])), ("y", _bytes([0, 1]), _bytes([0, 0]))]
     groups, _, _ = p4_clusters.link_groups(spark.createDataFrame(rows, "id string, a binary, b binary"))
