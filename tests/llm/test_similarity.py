@@ -115,6 +115,26 @@ def test_a_record_linked_only_to_a_member_that_is_no_pivot(spark):
     assert {r["id"]: r["group_id"] for r in p4_clusters.link_groups(df)[0].collect()} == want
 
 
+def test_pairs_that_just_reach_both_thresholds(spark):
+    rng = np.random.default_rng(8)
+    a, b = [], []
+    for _ in range(1500):
+        for out, dim, cosine in ((a, 48, 0.751), (b, 96, 0.801)):
+            u, v = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+            out += [u, cosine * u + np.sqrt(1 - cosine**2) * v]
+    df = spark.createDataFrame([(f"{i:04d}", _bytes(x), _bytes(y)) for i, (x, y) in enumerate(zip(a, b))], "id string, a binary, b binary")
+    group = {r["id"]: r["group_id"] for r in p4_clusters.link_groups(df)[0].collect()}
+    missed = sum(group[f"{i + 1:04d}"] != f"{i:04d}" for i in range(0, 3000, 2))
+    assert missed <= 5  # 1.5 expected at most, at a miss probability of 0.001
+
+
+def test_tables_are_planned_for_the_thresholds():
+    for n in (2, 3000, 30_000, 300_000, 3_000_000):
+        bits, tables = p4_clusters.plan_tables(n, p4_clusters.MIN_A, p4_clusters.MIN_B, p4_clusters.MISS)
+        meet = [(1 - np.arccos(c) / np.pi) ** bits for c in (p4_clusters.MIN_A, p4_clusters.MIN_B)]
+        assert np.prod([1 - meet[0 if t % 4 == 3 else 1] for t in range(tables)]) <= 1e-3
+
+
 def test_copies_of_zero_vectors_and_ties(spark):
     rows = [("b", _bytes([1, 0]), _bytes([1, 0])), ("a", _bytes([1, 0]), _bytes([1, 0])), ("c", _bytes([1, 0]), _bytes([1, 0])), ("z", _bytes([1, 0]), _bytes([0, 0])), ("y", _bytes([0, 1]), _bytes([0, 0]))]
     groups, _, _ = p4_clusters.link_groups(spark.createDataFrame(rows, "id string, a binary, b binary"))
