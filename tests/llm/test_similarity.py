@@ -135,6 +135,33 @@ def test_tables_are_planned_for_the_thresholds():
         assert np.prod([1 - meet[0 if t % 4 == 3 else 1] for t in range(tables)]) <= 1e-3
 
 
+def test_links_in_a_split_bucket(spark):
+    """All records are alike in the second vector and fill the same buckets; pairs alike in the first hide in them."""
+    rng = np.random.default_rng(9)
+    a, b = [], []
+    cb = rng.standard_normal(96)
+    for _ in range(300):
+        u, v = np.linalg.qr(rng.standard_normal((48, 2)))[0].T
+        a += [u, 0.8 * u + 0.6 * v]
+    a += [a[0] + 0.01 * rng.standard_normal(48) for _ in range(400)]  # the hot group
+    b = [cb + 0.02 * rng.standard_normal(96) for _ in a]
+    a, b = np.array(a, np.float32), np.array(b, np.float32)
+    df = spark.createDataFrame([(f"{i:04d}", _bytes(x), _bytes(y)) for i, (x, y) in enumerate(zip(a, b))], "id string, a binary, b binary")
+    assert {r["id"]: r["group_id"] for r in p4_clusters.link_groups(df, bucket_rows=100)[0].collect()} == _brute_groups(a, b)
+
+
+def test_rows_of_different_labels_share_a_cell(spark):
+    labels = ["hot"] * 37 + ["warm"] * 12 + [f"l{i}" for i in range(9)]
+    rows = [(f"r{i:02d}", x, 1) for i, x in enumerate(labels)] + [("s0", "x", 2), ("s1", "y", 2)] + [(f"t{i:02d}", "one", 3) for i in range(20)]
+    got = p4_clusters._cells(spark.createDataFrame(rows, "id string, label string, bucket int"), 5).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault((r["bucket"], r["sub"]), []).append((r["id"], r["label"]))
+    met = {(x, y) for c in cells.values() for x, lx in c for y, ly in c if x < y and lx != ly}
+    assert met == {(x, y) for x, lx, bx in rows for y, ly, by in rows if x < y and lx != ly and bx == by}
+    assert not any(k == 3 for k, _ in cells) and len(cells) > 10
+
+
 def test_copies_of_zero_vectors_and_ties(spark):
     rows = [("b", _bytes([1, 0]), _bytes([1, 0])), ("a", _bytes([1, 0]), _bytes([1, 0])), ("c", _bytes([1, 0]), _bytes([1, 0])), ("z", _bytes([1, 0]), _bytes([0, 0])), ("y", _bytes([0, 1]), _bytes([0, 0]))]
     groups, _, _ = p4_clusters.link_groups(spark.createDataFrame(rows, "id string, a binary, b binary"))
