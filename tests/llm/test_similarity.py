@@ -162,6 +162,20 @@ def test_rows_of_different_labels_share_a_cell(spark):
     assert not any(k == 3 for k, _ in cells) and len(cells) > 10
 
 
+def test_members_go_to_the_closest_of_all_pivots_of_their_group(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((40, 6)).astype(np.float32)
+    group = ["g00"] * 30 + ["m30"] * 10
+    ids = ["g00" if i == 0 else f"m{i:02d}" for i in range(40)]
+    members = spark.createDataFrame([(g, i, _bytes(v), _bytes(v)) for g, i, v in zip(group, ids, x)], "group_id string, id string, a binary, b binary")
+    links = spark.createDataFrame([(ids[i], ids[i % 5], i % 5 < 4) for i in range(5, 30)], "x string, p string, pivot boolean")
+    sizes = spark.createDataFrame([("g00", 30), ("m30", 10)], "group_id string, size int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {ids[i]: ids[int((u[:4] @ u[i]).argmax())] if i < 30 else "m30" for i in range(40)}
+    for part_rows in (20000, 7):
+        assert {r["id"]: r["pivot"] for r in p4_clusters.closest_pivots(members, links, sizes, part_rows).collect()} == want
+
+
 def test_copies_of_zero_vectors_and_ties(spark):
     rows = [("b", _bytes([1, 0]), _bytes([1, 0])), ("a", _bytes([1, 0]), _bytes([1, 0])), ("c", _bytes([1, 0]), _bytes([1, 0])), ("z", _bytes([1, 0]), _bytes([0, 0])), ("y", _bytes([0, 1]), _bytes([0, 0]))]
     groups, _, _ = p4_clusters.link_groups(spark.createDataFrame(rows, "id string, a binary, b binary"))
