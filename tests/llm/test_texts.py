@@ -80,9 +80,9 @@ ITEM = "Carriers of the follow-up mark who received a linear über channel for 4
 HAN = "携带芷淞的慢性感染在服用萦淞漪之后比仅用血浆者更少出现肝脏而萦澜漪未变。"
 
 
-def _leaks(text, item=ITEM):
-    items = p8_leaks.Items([(1, item)])
-    return bool(p8_leaks.leaks(items, [(0, text)]))
+def _leaks(text, item=ITEM, edits=0):
+    items = p8_leaks.Items([(1, item)], edits=edits)
+    return bool(p8_leaks.leaks(items, *p8_leaks.streams([text])))
 
 
 def test_leaks_whatever_the_typography():
@@ -109,6 +109,40 @@ def test_chinese_counts_characters():
     assert not _leaks("前文" + HAN[3:22] + "天地", HAN) and not _leaks(HAN[3:13] + "天" + HAN[13:23], HAN)
 
 
+def test_markup_of_any_length_is_no_text():
+    words = ITEM.split()
+    for size in (10, 400, 50_000):
+        tag = f'<span title="a > b" style="{"x: y; " * (size // 6)}">'
+        assert _leaks("x " + " ".join(words[2:8]) + " " + tag + " ".join(words[8:14]) + "</span> y"), size
+    assert _leaks("x<p>" + " ".join(words[2:14]) + "<br/>y") and _leaks("<!-- no --> " + " ".join(words[2:8]) + "<!-- a <b> -->" + " ".join(words[8:14]))
+    assert _leaks("if a <b then, as before, " + " ".join(words[2:14]) + ", c > d " * 200)
+
+
+def test_edit_budget():
+    passage = " ".join(ITEM.split()[2:14])
+    at = passage.index("linear")
+    changed = [passage[:at] + "lxnear" + passage[at + 6 :], passage[:at] + "liinear" + passage[at + 6 :], passage[:at] + "linar" + passage[at + 6 :]]
+    assert not any(_leaks(f"x {c} y") for c in changed) and all(_leaks(f"x {c} y", edits=1) for c in changed)
+    twice = [c.replace("channel", "chanxel") for c in changed]
+    assert not any(_leaks(f"x {c} y", edits=1) for c in twice) and all(_leaks(f"x {c} y", edits=2) for c in twice)
+
+
+def test_every_planted_passage_is_found():
+    rng = random.Random(8)
+    letters = "abcdefghij"
+    for trial in range(60):
+        item = " ".join("".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(40))
+        noise = lambda: " ".join("".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30)))
+        a = rng.randint(0, 28)
+        edits = trial % 3
+        passage = " ".join(item.split()[a : a + 12])
+        for _ in range(edits):
+            at = rng.randrange(len(passage))
+            if passage[at] != " ":
+                passage = passage[:at] + rng.choice(["z", "", passage[at] + "z"]) + passage[at + 1 :]
+        assert _leaks(f"{noise()} {passage} {noise()}".strip(), item, edits) or edits, trial
+
+
 def test_contaminated_table(spark):
     docs = spark.createDataFrame([(1, "a " + ITEM, "en"), (1, "a " + ITEM, "en"), (2, None, "en"), (3, "", "en"), (4, "nothing here", None), (None, ITEM, "en"), (5, ("filler " * 20000) + HAN + ITEM, "zh")], "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([(10, ITEM, "en"), (11, HAN, "zh"), (12, None, "en"), (13, "too short", "en"), (None, ITEM, "en"), (14, "", "en")], "item_id bigint, text string, doc_id string")
