@@ -74,6 +74,49 @@ def test_packing(spark):
     totals = [sum(c.values()) for c in cost.values() if len(c) == 8]
     assert max(totals) < 1.15 * min(totals)
     assert p7_packing.pack(spark.createDataFrame([], "id bigint, tokens bigint")).count() == 0
+    with pytest.raises(ValueError):
+        p7_packing.pack(df, tiers=(1000, 4096))
+
+
+def _check_plan(histogram, tiers):
+    made = p7_packing.plan(histogram, 4096, tiers)
+    placed = {}
+    for windows, times in made:
+        ends = 0
+        for tier, start, pattern in windows:
+            assert start >= ends and sum(s * k for s, k in pattern) <= min(tier, 4096 - start)
+            ends = start + sum(s * k for s, k in pattern)
+            for s, k in pattern:
+                placed[s] = placed.get(s, 0) + k * times
+    assert placed == histogram
+    return made, sum(s * n for s, n in histogram.items()) / (4096 * max(1, sum(t for _, t in made)))
+
+
+def test_tiers_shape_the_plan_and_cost_no_space():
+    rng = random.Random(5)
+    histogram = {}
+    for _ in range(20000):
+        s = min(4096, max(1, int(rng.lognormvariate(6.5, 1.0))))
+        histogram[s] = histogram.get(s, 0) + 1
+    many, fill = _check_plan(histogram, (512, 1024, 2048, 4096))
+    one, plain = _check_plan(histogram, (4096,))
+    assert many != one and fill > 0.99 and plain > 0.99
+    space = {}
+    for windows, times in many:
+        for tier, _, pattern in windows:
+            space[tier] = space.get(tier, 0) + times
+            assert tier == 4096 or sum(s * k for s, k in pattern) >= 0.99 * tier
+    assert all(space.get(t, 0) > 100 for t in (512, 1024, 2048, 4096)), space
+    # a tier's windows are led by items of that tier
+    leads = {tier: pattern[0][0] for windows, _ in many for tier, _, pattern in windows if tier < 4096}
+    assert all(t / 2 < s <= t for t, s in leads.items() if t > 512)
+
+
+def test_sizes_that_fill_no_window_are_packed_into_whole_containers():
+    assert _check_plan({300: 1300}, (512, 1024, 2048, 4096))[1] == 1300 * 300 / 4096 / 100
+    assert _check_plan({}, (512, 4096)) == ([], 0.0)
+    for sizes in ({4096: 3, 1: 5}, {512: 9, 600: 7, 100: 50}, {2048: 3, 1024: 1, 512: 1}):
+        _check_plan(sizes, (512, 1024, 2048, 4096))
 
 
 ITEM = "Carriers of the follow-up mark who received a linear über channel for 4 weeks lost fewer units than peers given rest or allocation alone."
