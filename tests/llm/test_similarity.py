@@ -176,6 +176,40 @@ def test_members_go_to_the_closest_of_all_pivots_of_their_group(spark):
         assert {r["id"]: r["pivot"] for r in p4_clusters.closest_pivots(members, links, sizes, part_rows).collect()} == want
 
 
+def test_typicality_and_recomputed_medoids(spark, payloads):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(5):
+        ca, cb = rng.standard_normal(48), rng.standard_normal((4, 128))
+        for i in range(3 + 4 * g):
+            a, b = ca + 0.3 * rng.standard_normal(48), cb + 0.3 * rng.standard_normal((4, 128))
+            rows.append({"pass_name": "paper_rerouted", "text_id": f"g{g}m{i:02d}", "hs_mean": [a.tolist()], "routing_full_last": b.tolist()})
+    folder = payloads(rows)
+    vec = {r["text_id"]: np.concatenate([v / np.linalg.norm(v) for v in (np.array(r["hs_mean"][0]), np.array(r["routing_full_last"]).ravel())]) for r in rows}
+    best = lambda ids, k: sorted(ids, key=lambda i: (-round(float(vec[i] @ sum(vec[j] for j in ids)), 6), i))[:k]
+    groups = {r["group_id"]: r for r in p4_clusters.p4_clusters(spark, folder).collect()}
+    assert {k: (r["size"], r["typical"].split(",")) for k, r in groups.items()} == {f"g{g}m00": (3 + 4 * g, best([f"g{g}m{i:02d}" for i in range(3 + 4 * g)], 3)) for g in range(5)}
+    members = p4_clusters.p4_members(spark, folder).collect()
+    clusters = {}
+    for r in members:
+        clusters.setdefault(r["pivot"], []).append(r)
+    assert sorted(r["text_id"] for r in members) == sorted(vec)
+    for pivot, own in clusters.items():
+        ids = [r["text_id"] for r in own]
+        assert {(r["group_id"], r["cluster_size"], r["medoid"]) for r in own} == {(ids[0][:2] + "m00", len(ids), best(ids, 1)[0])}
+    of_group = {}
+    for p in clusters:
+        of_group.setdefault(p[:2], []).append(p)
+    assert all(r["pivot"] == min(of_group[r["text_id"][:2]], key=lambda p: (-round(float(vec[p] @ vec[r["text_id"]]), 6), p)) for r in members)
+
+
+def test_the_exact_mode(spark):
+    a, b = _clustered(3, 6)
+    df = spark.createDataFrame([(f"{i:04d}", _bytes(x), _bytes(y)) for i, (x, y) in enumerate(zip(a, b))], "id string, a binary, b binary")
+    groups, _, _ = p4_clusters.link_groups(df, miss=0, bucket_rows=50)
+    assert {r["id"]: r["group_id"] for r in groups.collect()} == _brute_groups(a, b)
+
+
 def test_copies_of_zero_vectors_and_ties(spark):
     rows = [("b", _bytes([1, 0]), _bytes([1, 0])), ("a", _bytes([1, 0]), _bytes([1, 0])), ("c", _bytes([1, 0]), _bytes([1, 0])), ("z", _bytes([1, 0]), _bytes([0, 0])), ("y", _bytes([0, 1]), _bytes([0, 0]))]
     groups, _, _ = p4_clusters.link_groups(spark.createDataFrame(rows, "id string, a binary, b binary"))
