@@ -128,11 +128,28 @@ def test_pairs_that_just_reach_both_thresholds(spark):
     assert missed <= 5  # 1.5 expected at most, at a miss probability of 0.001
 
 
+def _meet_rate(n, pairs, cosine_a, cosine_b, seed=12):
+    """Share of pairs at these cosines that meet in a table of the plan for n rows."""
+    rng = np.random.default_rng(seed)
+    hashes, m, tables = p4_clusters.plan_tables(n, p4_clusters.MIN_A, p4_clusters.MIN_B, p4_clusters.MISS)
+    sides = {}
+    for name, dim, cosine in (("a", 48, cosine_a), ("b", 512, cosine_b)):
+        u, v = rng.standard_normal((2, pairs, dim)).astype(np.float32)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v -= (u * v).sum(axis=1, keepdims=True) * u
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        sides[name] = u, cosine * u + np.float32(np.sqrt(1 - cosine**2)) * v
+    met = np.zeros(pairs, bool)
+    for t in range(tables):
+        x, y = sides["a" if t % 4 == 3 else "b"]
+        met |= p4_clusters.corners(x, 1000 + t, hashes, m) == p4_clusters.corners(y, 1000 + t, hashes, m)
+    return met.mean(), tables
+
+
 def test_tables_are_planned_for_the_thresholds():
-    for n in (2, 3000, 30_000, 300_000, 3_000_000):
-        bits, tables = p4_clusters.plan_tables(n, p4_clusters.MIN_A, p4_clusters.MIN_B, p4_clusters.MISS)
-        meet = [(1 - np.arccos(c) / np.pi) ** bits for c in (p4_clusters.MIN_A, p4_clusters.MIN_B)]
-        assert np.prod([1 - meet[0 if t % 4 == 3 else 1] for t in range(tables)]) <= 1e-3
+    for n in (3000, 30_000, 1_000_000):
+        rate, tables = _meet_rate(n, 3000, p4_clusters.MIN_A, p4_clusters.MIN_B)
+        assert rate >= 0.996, (n, rate, tables)
 
 
 def test_links_in_a_split_bucket(spark):
@@ -203,6 +220,15 @@ def test_typicality_and_recomputed_medoids(spark, payloads):
     assert all(r["pivot"] == min(of_group[r["text_id"][:2]], key=lambda p: (-round(float(vec[p] @ vec[r["text_id"]]), 6), p)) for r in members)
 
 
+def test_coarse_cosines_keep_their_bound():
+    rng = np.random.default_rng(13)
+    for dim in (1, 2, 48, 512):
+        x = np.concatenate([rng.standard_normal((500, dim)), np.zeros((2, dim)), rng.standard_normal((50, dim)) ** 5]).astype(np.float32)
+        y = (x + rng.standard_normal(x.shape) * rng.random((len(x), 1))).astype(np.float32)
+        got, off = p4_clusters._coarse_cosine(p4_clusters._coarse(x), p4_clusters._coarse(y))
+        assert (np.abs(got - np.einsum("ij,ij->i", p4_clusters._unit(x), p4_clusters._unit(y))) <= off).all() and off[:500].max() < 0.06
+
+
 def test_the_exact_mode(spark):
     a, b = _clustered(3, 6)
     df = spark.createDataFrame([(f"{i:04d}", _bytes(x), _bytes(y)) for i, (x, y) in enumerate(zip(a, b))], "id string, a binary, b binary")
