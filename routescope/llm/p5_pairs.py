@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from routescope.functions.nested import as_array, walk
 from routescope.llm.slices import slices
+from routescope.session import cut_lineage
 from routescope.sources.tables import PASS_ALL, current, payload_rows
 
 ROUTED_SLOTS = 8
@@ -99,6 +100,35 @@ def distinct_baskets(rows: DataFrame) -> DataFrame:
     return parts.groupBy("basket").agg(F.sum("weight").alias("weight"))
 
 
+def basket_pairs(df: DataFrame) -> DataFrame:
+    """Pairs of items that share a basket, for baskets of any size and items of any name.
+
+    ``df``: scope, items (an array). Null items drop out, repeated items count once, a null array or a basket without
+    items counts nowhere; a null scope is a scope like any other; other columns are ignored; an empty table gives no
+    rows. Returns scope, item_a < item_b (as strings), n_ab, n_a, n_b, baskets, lift and conviction as
+    :func:`co_occurrence`. Identical baskets of a scope are merged into one with a weight before pairs are formed.
+    """
+    item = F.array_sort(F.array_distinct(F.array_compact(F.col("items").cast("array<string>"))))
+    merged = df.select("scope", item.alias("items")).where("size(items) > 0").groupBy("scope", "items").agg(F.count("*").alias("weight"))
+    # An item's own count is the pair (a, a); the basket's the pair without items.
+    own = F.transform("items", lambda x: F.struct(x.alias("a"), x.alias("b")))
+    two = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    counts = cut_lineage(merged.select("scope", "weight", F.explode(F.concat(own, two, nothing)).alias("p")).groupBy("scope", "p.a", "p.b").agg(F.sum("weight").alias("n")))
+    single, total = counts.where("a = b"), counts.where("a is null").select(F.col("scope").alias("s"), F.col("n").alias("baskets"))
+    na = single.select(F.col("scope").alias("sa"), F.col("a").alias("ka"), F.col("n").alias("n_a"))
+    nb = single.select(F.col("scope").alias("sb"), F.col("a").alias("kb"), F.col("n").alias("n_b"))
+    pairs = counts.where("a < b")
+    out = pairs.join(na, F.col("scope").eqNullSafe(F.col("sa")) & (F.col("a") == F.col("ka"))).join(nb, F.col("scope").eqNullSafe(F.col("sb")) & (F.col("b") == F.col("kb"))).join(total, F.col("scope").eqNullSafe(F.col("s")))
+    return _scored(out.select("scope", F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("n").alias("n_ab"), "n_a", "n_b", "baskets"))
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    lift = F.col("n_ab").cast("double") * F.col("baskets") / (F.col("n_a").cast("double") * F.col("n_b"))
+    conviction = F.try_divide(1.0 - F.col("n_b") / F.col("baskets"), 1.0 - F.col("n_ab") / F.col("n_a"))
+    return df.withColumn("lift", F.round(lift, 6)).withColumn("conviction", F.round(conviction, 6))
+
+
 def co_occurrence(rows: DataFrame) -> DataFrame:
     """Pairs of experts routed for the same token in the same layer, with joint count and lift.
 
@@ -109,7 +139,8 @@ def co_occurrence(rows: DataFrame) -> DataFrame:
     and conviction = (1 - n_b / baskets) / (1 - n_ab / n_a), null where a is never without b. Repeated rows of a
     text count once; an empty table gives no rows.
     """
-    counts = distinct_baskets(rows).mapInArrow(_enumerate, "layer int, a int, b int, n bigint").groupBy("layer", "a", "b").agg(F.sum("n").alias("n"))
+    # Written down once: pairs, both singles and totals read it.
+    counts = cut_lineage(distinct_baskets(rows).mapInArrow(_enumerate, "layer int, a int, b int, n bigint").groupBy("layer", "a", "b").agg(F.sum("n").alias("n")))
     # At most layers x 128 rows of singles and layers rows of totals: bounded by the model, not by the data.
     single = counts.where(f"a = b and a < {EMPTY}")
     total = counts.where(f"a = {EMPTY}").select("layer", F.col("n").alias("baskets"))
@@ -117,9 +148,7 @@ def co_occurrence(rows: DataFrame) -> DataFrame:
     nb = single.select("layer", F.col("b").alias("expert_b"), F.col("n").alias("n_b"))
     pairs = counts.where("a < b").select("layer", F.col("a").alias("expert_a"), F.col("b").alias("expert_b"), F.col("n").alias("n_ab"))
     out = pairs.join(F.broadcast(na), ["layer", "expert_a"]).join(F.broadcast(nb), ["layer", "expert_b"]).join(F.broadcast(total), "layer")
-    lift = F.col("n_ab").cast("double") * F.col("baskets") / (F.col("n_a").cast("double") * F.col("n_b"))
-    conviction = F.try_divide(1.0 - F.col("n_b") / F.col("baskets"), 1.0 - F.col("n_ab") / F.col("n_a"))
-    return out.select("layer", "expert_a", "expert_b", "n_ab", "n_a", "n_b", "baskets", F.round(lift, 6).alias("lift"), F.round(conviction, 6).alias("conviction"))
+    return _scored(out.select("layer", "expert_a", "expert_b", "n_ab", "n_a", "n_b", "baskets"))
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:

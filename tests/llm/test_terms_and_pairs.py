@@ -79,3 +79,22 @@ def test_pairs_against_counting(spark, payloads):
     assert got.keys() == two.keys()
     for k, r in got.items():
         assert (r["n_ab"], r["n_a"], r["n_b"], r["baskets"]) == (two[k], one[k[:2]], one[k[0], k[2]], n[k[0]])
+
+
+def test_pairs_in_baskets_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    baskets = [(["x", "y", None][i % 3], [f"i{j}" for j in rng.choice(12, rng.integers(0, 9))]) for i in range(200)] + [("x", ["i1", "i2", "i2", None])] * 90 + [("x", None), ("x", [None])]
+    df = spark.createDataFrame([(*b, 1) for b in baskets], "scope string, items array<string>, n_ab int")
+    want = {}
+    for scope in ("x", "y", None):
+        sets = [set(i) - {None} for s, i in baskets if s == scope and i]
+        sets = [s for s in sets if s]
+        count = lambda *names: sum(set(names) <= s for s in sets)
+        for i in range(12):
+            for j in range(12):
+                a, b = f"i{i}", f"i{j}"
+                if a < b and count(a, b):
+                    want[scope, a, b] = (count(a, b), count(a), count(b), len(sets), round(count(a, b) * len(sets) / (count(a) * count(b)), 6))
+    got = {(r["scope"], r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["baskets"], r["lift"]) for r in p5_pairs.basket_pairs(df).collect()}
+    assert got == want
+    assert p5_pairs.basket_pairs(df.limit(0)).count() == 0
