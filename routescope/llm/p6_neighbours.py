@@ -351,7 +351,7 @@ def nearest(df: DataFrame, fields: list[str], k: int = K, factor: float = FACTOR
     vectors = df.where("text_id is not null").select("text_id", *fields).mapInArrow(_clean(fields, dim), "field int, text_id string, vec binary")
     # The k + 1 least ids stand for a class of copies; the group limit before the shuffle bounds what a hot class sends.
     least = Window.partitionBy("field", "vec").orderBy("text_id")
-    vectors = vectors.withColumn("wanted", F.expr(query))
+    vectors = cut_lineage(vectors.withColumn("wanted", F.expr(query)))  # read three times
     first = vectors.withColumn("r", F.row_number().over(least)).where(f"r <= {k + 1}")
     ids = first.groupBy("field", "vec").agg(F.array_sort(F.collect_list("text_id")).alias("ids"))
     sizes = vectors.groupBy("field", "vec").agg(F.count("*").alias("n"), F.max("wanted").alias("is_query"))
