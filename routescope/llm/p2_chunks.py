@@ -149,10 +149,11 @@ def chunks(df: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Each text once: of rows delivered again the latest. Short ones leave before the shuffle."""
-    rows = table(spark, folder, "records").where(F.length("text") > MAX_CHARS).select("text_id", "text", "loaded_at").where("text_id is not null")
+    """Each text once: of rows delivered again the latest. What is too short travels without its text."""
+    long = F.length("text") > MAX_CHARS
+    rows = table(spark, folder, "records").where("text_id is not null").select("text_id", "loaded_at", F.when(long, F.col("text")).alias("text"))
     w = Window.partitionBy("text_id").orderBy(F.desc_nulls_last("loaded_at"), F.xxhash64("text"))
-    return rows.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("text_id").alias("id"), "text")
+    return rows.withColumn("r", F.row_number().over(w)).where("r = 1 and text is not null").select(F.col("text_id").alias("id"), "text")
 
 
 def p2_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,7 +170,8 @@ QUERIES = {"p2_chunks": p2_chunks, "p2_found": p2_found}
 
 ORACLE = {
     "p2_found": r"""
-with t as (select distinct text_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from records where text is not null and length(text) > 2000)
+with t as (select text_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from (
+  select *, row_number() over (partition by text_id order by loaded_at desc nulls last) as rk from records where text_id is not null) where rk = 1 and length(text) > 2000)
 select text_id, case when list_max(list_transform(regexp_split_to_array(text, '[\s.!?。！？।؟۔።]'), lambda x: length(x))) > 2000
   then 'forced' else 'natural' end as cut from t where length(text) > 2000
 """,

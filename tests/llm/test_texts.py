@@ -78,6 +78,12 @@ def test_packing(spark):
         p7_packing.pack(df, tiers=(1000, 4096))
 
 
+def test_the_latest_delivery_counts_even_if_short(spark, tmp_path):
+    rows = [("a", PROSE, 1), ("a", "short", 2), ("b", "short", 1), ("b", PROSE, 2), ("c", PROSE, 1), ("c", None, 2), ("d", PROSE, None), (None, PROSE, 1), ("e", PROSE, 1), ("e", PROSE, 1)]
+    spark.createDataFrame(rows, "text_id string, text string, loaded_at int").write.parquet(str(tmp_path / "records.parquet"))
+    assert sorted(r["text_id"] for r in p2_chunks.p2_found(spark, str(tmp_path)).collect()) == ["b", "d", "e"]
+
+
 def _check_plan(histogram, tiers):
     made = p7_packing.plan(histogram, 4096, tiers)
     placed = {}
