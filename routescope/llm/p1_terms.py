@@ -46,8 +46,8 @@ def _build(depths: list[int]):
             for f, depth in enumerate(depths):
                 col = as_array(batch.column(f))
                 present = len(col) - col.null_count
-                # The number of records that have the field travels as a row with a null bitmap.
-                yield _columns(np.array([f]), np.array([-2]), np.array([0]), np.array([0]), [None], np.array([present]))
+                # The number of records that have the field travels as a row with a null bitmap, keyed by the partition.
+                yield _columns(np.array([f]), np.array([-2]), np.array([0]), np.array([base >> 32]), [None], np.array([present]))
                 values, index, ok = walk(col, depth)
                 values = values.astype(np.int64)
                 ok &= values >= 0
