@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routescope.functions.vectors import dot
+from routescope.session import cut_lineage
 
 QUERY_BLOCK, DOC_BLOCK = 1024, 4096
 DIGITS = 6
@@ -34,12 +35,7 @@ def _multiply(k: int | None):
                     continue
                 scores = _stack(q.field("vec")) @ _stack(d.field("vec")).T
                 names = d.field("id")
-                if k is None or k >= len(d):
-                    row, col = np.divmod(np.arange(scores.size), len(d))
-                else:
-                    # everything whose rounded score reaches the k-th: ties are settled by id in the merge
-                    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                    row, col = np.nonzero(scores >= kth - 10.0**-DIGITS)
+                row, col = _chosen(scores, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), batch.column("pass_name")[i].as_py())), q.field("id").take(pa.array(row)), names.take(pa.array(col)), pa.array(scores[row, col])], names=["pass_name", "query_id", "doc_id", "score"])
 
     return run
@@ -74,36 +70,69 @@ def best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cosine of sparse rows (pass_name, text_id, dim, w): an equi-join on the dimension; pairs without a common
-    dimension score 0 and are absent."""
+def _sparse_blocks(k: int | None):
+    def spread(side: pa.StructArray, dims: np.ndarray) -> np.ndarray:
+        rows = side.field("row")
+        n = np.diff(rows.offsets.to_numpy())
+        flat = rows.flatten()
+        out = np.zeros((len(side), len(dims)))
+        np.add.at(out, (np.repeat(np.arange(len(side)), n), np.searchsorted(dims, flat.field("dim").to_numpy(zero_copy_only=False))), flat.field("w").to_numpy(zero_copy_only=False))
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-10)
 
-    def normed(df: DataFrame, side: str) -> DataFrame:
-        length = df.groupBy("pass_name", "text_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-        return df.join(length, ["pass_name", "text_id"]).select("pass_name", F.col("text_id").alias(f"{side}_id"), "dim", (F.col("w") / F.greatest("n", F.lit(1e-10))).alias(side))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, d = batch.column("q")[i].values, batch.column("d")[i].values
+                dims = np.unique(np.concatenate([x.field("row").flatten().field("dim").to_numpy(zero_copy_only=False) for x in (q, d)]))
+                scores = spread(q, dims) @ spread(d, dims).T
+                row, col = _chosen(scores, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), batch.column("pass_name")[i].as_py())), q.field("id").take(pa.array(row)), d.field("id").take(pa.array(col)), pa.array(scores[row, col])], names=["pass_name", "query_id", "doc_id", "score"])
+
+    return run
+
+
+def sparse_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+    """Cosine of sparse rows (pass_name, text_id, dim, w) of every query and document that has one; pairs without a common
+    dimension score 0. Blocks of texts meet as in :func:`dense_scores`, so a dimension that most texts have is no key."""
+    dtype = dict(docs.dtypes)["text_id"]
+
+    def blocks(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+        texts = cut_lineage(df.groupBy("pass_name", "text_id").agg(F.collect_list(F.struct(F.col("dim").cast("bigint").alias("dim"), F.col("w").cast("double").alias("w"))).alias("row")))
+        count = max(1, -(-texts.count() // rows))
+        block = F.pmod(F.xxhash64("text_id"), F.lit(count)).cast("int")
+        return texts.groupBy("pass_name", block.alias(name)).agg(F.collect_list(F.struct(F.col("text_id").alias("id"), "row")).alias(name[0])), count
 
-    met = normed(queries, "query").join(normed(docs, "doc"), ["pass_name", "dim"])
-    return met.groupBy("pass_name", "query_id", "doc_id").agg(F.sum(F.col("query") * F.col("doc")).alias("score"))
+    q, _ = blocks(queries, query_block, "q_block")
+    d, many = blocks(docs, doc_block, "d_block")
+    met = q.select("pass_name", "q", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("d_block")).join(d, ["pass_name", "d_block"])
+    return met.select("pass_name", "q", "d").mapInArrow(_sparse_blocks(k), f"pass_name string, query_id {dtype}, doc_id {dtype}, score double")
 
 
-def _max_sim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            q, d = batch.column("q")[i].values, batch.column("d")[i].values
-            if not len(q) or not len(d):
-                continue
+def _chosen(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """All places of a score matrix, or those whose rounded score reaches the row's k-th: the merge settles ties by id."""
+    if k is None or k >= scores.shape[1]:
+        return np.divmod(np.arange(scores.size), scores.shape[1])
+    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    return np.nonzero(scores >= kth - 10.0**-DIGITS)
 
-            def lay(side):
-                vecs = side.field("vecs")
-                n = np.diff(vecs.offsets.to_numpy())
-                flat = vecs.flatten()
-                return _stack(flat), np.concatenate(([0], np.cumsum(n)[:-1]))
 
-            (qv, qs), (dv, ds) = lay(q), lay(d)
-            near = np.maximum.reduceat(qv @ dv.T, ds, axis=1)
-            scores = np.add.reduceat(near, qs, axis=0)
-            row, col = np.divmod(np.arange(scores.size), len(d))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), batch.column("pass_name")[i].as_py())), q.field("id").take(pa.array(row)), d.field("id").take(pa.array(col)), pa.array(scores[row, col])], names=["pass_name", "query_id", "doc_id", "score"])
+def _max_sim(k: int | None):
+    def lay(side: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        vecs = side.field("vecs")
+        return _stack(vecs.flatten()), np.concatenate(([0], np.cumsum(np.diff(vecs.offsets.to_numpy()))[:-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, d = batch.column("q")[i].values, batch.column("d")[i].values
+                if not len(q) or not len(d):
+                    continue
+                (qv, qs), (dv, ds) = lay(q), lay(d)
+                scores = np.add.reduceat(np.maximum.reduceat(qv @ dv.T, ds, axis=1), qs, axis=0)
+                row, col = _chosen(scores, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), batch.column("pass_name")[i].as_py())), q.field("id").take(pa.array(row)), d.field("id").take(pa.array(col)), pa.array(scores[row, col])], names=["pass_name", "query_id", "doc_id", "score"])
+
+    return run
 
 
 def packed(multi: DataFrame) -> DataFrame:
@@ -111,10 +140,10 @@ def packed(multi: DataFrame) -> DataFrame:
     return multi.groupBy("pass_name", "text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_no", "vec"))), lambda s: s["vec"]).alias("vecs"))
 
 
-def max_sim(queries: DataFrame, docs: DataFrame, query_block: int = 64, doc_block: int = 512) -> DataFrame:
+def max_sim(queries: DataFrame, docs: DataFrame, k: int | None = None, query_block: int = 64, doc_block: int = 512) -> DataFrame:
     """Late interaction: the sum over the query's vectors of the greatest dot product with any of the document's.
 
-    Maxima may be negative. Same block scheme as :func:`dense_scores`, over texts packed with all their vectors.
+    Maxima may be negative. With ``k`` a pair of blocks passes on only each query's k best. Same block scheme as :func:`dense_scores`, over texts packed with all their vectors.
     """
     dtype = dict(docs.dtypes)["text_id"]
 
@@ -127,7 +156,7 @@ def max_sim(queries: DataFrame, docs: DataFrame, query_block: int = 64, doc_bloc
     q, _ = blocks(queries, query_block, "q_block")
     d, many = blocks(docs, doc_block, "d_block")
     met = q.select("pass_name", "q", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("d_block")).join(d, ["pass_name", "d_block"])
-    return met.select("pass_name", "q", "d").mapInArrow(_max_sim, f"pass_name string, query_id {dtype}, doc_id {dtype}, score double")
+    return met.select("pass_name", "q", "d").mapInArrow(_max_sim(k), f"pass_name string, query_id {dtype}, doc_id {dtype}, score double")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -3,27 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routescope.functions.vectors import collect_vector, long_form, mean_vector, sigmoid, unit
-from routescope.operators import dense as D
 from routescope.operators import metrics as E
 from routescope.operators import multi as M
 from routescope.operators import pools as P
 from routescope.operators import scoring as S
+from routescope.operators.evaluation import DENSE, FUSION, MULTI, TOP, evaluate
 from routescope.session import cut_lineage
 from routescope.sources import standin
 from routescope.sources.standin import ARCH
 
 TEXT = ["pass_name", "text_id"]
-OFFSETS = len(ARCH.attention)
-ALL = tuple(range(ARCH.layers))
 ATTENTION = ARCH.attention
-LINEAR = tuple(x for x in ALL if x not in ATTENTION)
-TOP = 100
 
 
 def _whole(df: DataFrame, *keys: str) -> DataFrame:
@@ -110,77 +105,45 @@ def _both(df: DataFrame) -> DataFrame:
     return df.withColumn("pass_name", F.explode(F.array(F.lit("rerouted"), F.lit("paper_rerouted"))))
 
 
-def _last(spark: SparkSession, folder: str) -> DataFrame:
-    h = standin.hidden(spark, folder).where(f"layer = {ARCH.layers - 1} and tok = {ARCH.last}")
-    return _both(h.select("text_id", F.col("h").alias("vec"))).select(*TEXT, "vec")
+class StandIn:
+    """The stand-in model's signals."""
 
+    arch = ARCH
 
-def _mean(spark: SparkSession, folder: str) -> DataFrame:
-    h = standin.hidden(spark, folder).where(f"layer = {ARCH.layers - 1}")
-    return _both(mean_vector(h, ["text_id"], "h")).select(*TEXT, "vec")
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
+    def _final(self) -> DataFrame:
+        return standin.hidden(self.spark, self.folder).where(f"layer = {ARCH.layers - 1}")
 
-def _moee(spark: SparkSession, folder: str) -> DataFrame:
-    r = standin.router(spark, folder).where(f"tok = {ARCH.last}").select(*TEXT, "layer", F.posexplode("prob").alias("e", "p"))
-    return collect_vector(r.withColumn("dim", F.col("layer") * ARCH.experts + F.col("e")), TEXT, "dim", "p", "vec")
+    def last(self) -> DataFrame:
+        return _both(self._final().where(f"tok = {ARCH.last}").select("text_id", F.col("h").alias("vec"))).select(*TEXT, "vec")
 
+    def mean(self) -> DataFrame:
+        return _both(mean_vector(self._final(), ["text_id"], "h")).select(*TEXT, "vec")
 
-def _sparse(spark: SparkSession, folder: str) -> DataFrame:
-    r = standin.routing(spark, folder).where(f"tok = {ARCH.last} and slot < {ARCH.top_k}")
-    return r.select(*TEXT, (F.col("layer") * ARCH.experts + F.col("expert")).alias("dim"), F.col("weight").alias("w"))
+    def router(self) -> DataFrame:
+        r = standin.router(self.spark, self.folder).where(f"tok = {ARCH.last}").select(*TEXT, "layer", F.posexplode("prob").alias("e", "p"))
+        return collect_vector(r.withColumn("dim", F.col("layer") * ARCH.experts + F.col("e")), TEXT, "dim", "p", "vec")
 
+    def routed(self) -> DataFrame:
+        r = standin.routing(self.spark, self.folder).where(f"tok = {ARCH.last} and slot < {ARCH.top_k}")
+        return r.select(*TEXT, (F.col("layer") * ARCH.experts + F.col("expert")).alias("dim"), F.col("weight").alias("w"))
 
-def _sparse_vector(spark: SparkSession, folder: str) -> DataFrame:
-    """The sparse rows scattered into a full vector."""
-    items = F.map_from_entries(F.collect_list(F.struct("dim", "w")))
-    row = _sparse(spark, folder).groupBy(*TEXT).agg(items.alias("m"))
-    dims = F.sequence(F.lit(0), F.lit(ARCH.layers * ARCH.experts - 1))
-    return row.select(*TEXT, F.transform(dims, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("vec"))
+    def value_means(self) -> DataFrame:
+        return _value_means(self.spark, self.folder)
 
+    def attention(self) -> DataFrame:
+        return standin.attention(self.spark, self.folder)
 
-def _va(select: str):
-    return lambda spark, folder: D.mean_over(_value_means(spark, folder), "off", D.attention_offsets(OFFSETS, select))
+    def values(self) -> DataFrame:
+        return _values(self.spark, self.folder)
 
+    def pool(self, family: str) -> DataFrame:
+        return _pool(self.spark, self.folder, family)
 
-def _aligned(spark: SparkSession, folder: str) -> DataFrame:
-    return D.aligned_values(standin.attention(spark, folder), _values(spark, folder), D.attention_offsets(OFFSETS, "second_half"), ARCH.head_dim)
-
-
-def _expert_out(layers: tuple[int, ...]):
-    return lambda spark, folder: D.pool_mean(_pool(spark, folder, "out"), layers, ARCH.hidden)
-
-
-DENSE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "KV-Embedding": lambda s, f: D.hybrid(_last(s, f), _mean(s, f)),
-    "LastToken-HS": _last,
-    "MeanPool-HS": _mean,
-    "MoEE": _moee,
-    "VA": _va("second_half"),
-    "VA-all-attn": _va("all"),
-    "VA-last-attn": _va("last"),
-    "AlignedWVA": _aligned,
-    "ExpertOut-mean": _expert_out(ALL),
-    "ExpertOut-mean-attn-only": _expert_out(ATTENTION),
-    "ExpertOut-mean-delta-only": _expert_out(LINEAR),
-    "MoEE-sparse": _sparse_vector,
-}
-
-
-def _final_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    h = standin.hidden(spark, folder).where(f"layer = {ARCH.layers - 1}")
-    return _both(h.select("text_id", F.col("tok").alias("vec_no"), F.col("h").alias("vec"))).select(*TEXT, "vec_no", "vec")
-
-
-MULTI: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "ExpertPool-Value-attn": lambda s, f: M.pool_vectors(_pool(s, f, "va"), ATTENTION[OFFSETS // 2 :], 2, ARCH.hidden),
-    "ExpertPool-Value-attn-all": lambda s, f: M.pool_vectors(_pool(s, f, "va"), ATTENTION, 2, ARCH.hidden),
-    "ExpertPool-ExpertOut-all": lambda s, f: M.pool_vectors(_pool(s, f, "out"), ALL, 1, ARCH.hidden),
-    "ExpertPool-ExpertOut-attn": lambda s, f: M.pool_vectors(_pool(s, f, "out"), ATTENTION, 1, ARCH.hidden),
-    "ExpertPool-ExpertOut-delta": lambda s, f: M.pool_vectors(_pool(s, f, "out"), LINEAR, 1, ARCH.hidden),
-    "TokenLevel-HS-final": _final_tokens,
-}
-RERANK = {"RouteSig-then-ExpertPool-Value": "ExpertPool-Value-attn", "RouteSig-then-ExpertPool-ExpertOut": "ExpertPool-ExpertOut-all", "RouteSig-then-TokenLevel-HS": "TokenLevel-HS-final"}
-FUSION = {"MoEE+VA-0.3": ("MoEE", "VA", 0.3), "MoEE+VA-0.5": ("MoEE", "VA", 0.5), "MoEE+VA-0.7": ("MoEE", "VA", 0.7), "MoEE+ExpertOut-0.5": ("MoEE", "ExpertOut-mean", 0.5)}
+    def states(self) -> DataFrame:
+        return _both(self._final().select("text_id", F.col("tok").alias("vec_no"), F.col("h").alias("vec"))).select(*TEXT, "vec_no", "vec")
 
 
 def _normal(df: DataFrame) -> DataFrame:
@@ -188,11 +151,11 @@ def _normal(df: DataFrame) -> DataFrame:
 
 
 def _dense_query(method: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: _whole(_normal(DENSE[method](spark, folder)), *TEXT)
+    return lambda spark, folder: _whole(_normal(DENSE[method](StandIn(spark, folder))), *TEXT)
 
 
 def _multi_query(method: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: _whole(_normal(MULTI[method](spark, folder)), *TEXT, "vec_no")
+    return lambda spark, folder: _whole(_normal(MULTI[method](StandIn(spark, folder))), *TEXT, "vec_no")
 
 
 def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,7 +164,7 @@ def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def multi_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return M.offsets(MULTI["ExpertPool-Value-attn"](spark, folder))
+    return M.offsets(MULTI["ExpertPool-Value-attn"](StandIn(spark, folder)))
 
 
 # scores --------------------------------------------------------------------------------------------------------
@@ -211,7 +174,7 @@ def _side(df: DataFrame, spark: SparkSession, folder: str, kind: str) -> DataFra
 
 
 def _scores(spark: SparkSession, folder: str, method: str, k: int | None = None) -> DataFrame:
-    rep = _normal(DENSE[method](spark, folder))
+    rep = _normal(DENSE[method](StandIn(spark, folder)))
     return S.dense_scores(_side(rep, spark, folder, "query"), _side(rep, spark, folder, "doc"), k)
 
 
@@ -231,26 +194,18 @@ def cosine_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sparse_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _sparse(spark, folder)
+    rows = StandIn(spark, folder).routed()
     out = S.sparse_scores(_side(rows, spark, folder, "query"), _side(rows, spark, folder, "doc"))
     return _rounded(out)
 
 
 def _max_sim(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    rep = cut_lineage(_normal(MULTI[method](spark, folder)))  # read for its size, as queries and as documents
+    rep = cut_lineage(_normal(MULTI[method](StandIn(spark, folder))))  # read for its size, as queries and as documents
     return S.max_sim(_side(rep, spark, folder, "query"), _side(rep, spark, folder, "doc"))
 
 
-def maxsim(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair through the expression kernels: the candidates are all pairs."""
-    rep = cut_lineage(_normal(MULTI["ExpertPool-Value-attn"](spark, folder)))
-    q, d = _side(rep, spark, folder, "query"), _side(rep, spark, folder, "doc")
-    pairs = q.select("pass_name", F.col("text_id").alias("query_id")).distinct().join(d.select("pass_name", F.col("text_id").alias("doc_id")).distinct(), "pass_name")
-    return _rounded(S.rerank(pairs, q, d))
-
-
 def maxsim_arrow(spark: SparkSession, folder: str) -> DataFrame:
-    """The same scores through the block kernel."""
+    """Every pair, through the block kernel."""
     return _rounded(_max_sim(spark, folder, "ExpertPool-Value-attn"))
 
 
@@ -268,7 +223,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    rep = cut_lineage(_normal(MULTI[method](spark, folder)))
+    rep = cut_lineage(_normal(MULTI[method](StandIn(spark, folder))))
     scored = S.rerank(candidates(spark, folder), _side(rep, spark, folder, "query"), _side(rep, spark, folder, "doc"))
     return S.best(scored, TOP)
 
@@ -281,47 +236,17 @@ def eval_rerank(spark: SparkSession, folder: str) -> DataFrame:
     return E.summary(E.per_query(rerank(spark, folder), _judged(spark, folder)), ["ndcg_10", "ndcg_100", "recall_10", "recall_100"])
 
 
-def _keyed(df: DataFrame, method: str) -> DataFrame:
-    return df.withColumn("pass_name", F.concat(F.lit(f"{method}|"), "pass_name"))
-
-
-def _split(df: DataFrame) -> DataFrame:
-    part = F.split("pass_name", r"\|")
-    return df.select(part[0].alias("method"), part[1].alias("pass_name"), "query_id", "doc_id", "score")
-
-
 def results_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per method and pass: nDCG and recall, vectors in the documents' index and their dimension.
-
-    All single-vector methods are scored in one block join with (method, pass) as the group, all multi-vector methods
-    in a second, all rerankings in a third; the tables they share are computed once.
-    """
-    union = lambda xs: reduce(lambda x, y: x.unionByName(y), xs)
+    """One row per method and pass: nDCG and recall, average vectors a document, their dimension and the index's bytes."""
+    kinds = standin.texts(spark, folder).select("text_id", "kind")
     with standin.sharing():
-        single = cut_lineage(union([_keyed(_normal(DENSE[m](spark, folder)).select(*TEXT, "vec"), m) for m in DENSE]))
-        several = cut_lineage(union([_keyed(_normal(MULTI[m](spark, folder)).select(*TEXT, "vec_no", "vec"), m) for m in MULTI]))
-        q, d = (_side(single, spark, folder, k) for k in ("query", "doc"))
-        mq, md = (_side(several, spark, folder, k) for k in ("query", "doc"))
-        judged = cut_lineage(_judged(spark, folder))
-    dense = cut_lineage(_split(S.dense_scores(q, d, None)))
-    of = lambda m: dense.where(F.col("method") == m).drop("method")
-    fused = [S.fuse(of(a), of(b), w).withColumn("method", F.lit(m)) for m, (a, b, w) in FUSION.items()]
-    first = S.best(of("MoEE"), TOP)
-    asked = union([_keyed(first.select("pass_name", "query_id", "doc_id"), base) for base in RERANK.values()])
-    new = F.create_map(*[F.lit(x) for m, base in RERANK.items() for x in (base, m)])
-    again = _split(S.rerank(asked, mq, md)).withColumn("method", F.element_at(new, F.col("method")))
-    ranked = S.best(union([dense, *fused, _split(S.max_sim(mq, md)), again]), TOP)
-    names = ["ndcg_10", "ndcg_100", "recall_10", "recall_100"]
-    table = E.summary(E.per_query(ranked, judged), names)
-    part = F.split("pass_name", r"\|")
-    size = d.select("pass_name", "vec").unionByName(md.select("pass_name", "vec")).groupBy(part[0].alias("method"), part[1].alias("pass_name")).agg(F.count("*").alias("num_vectors"), F.max(F.size("vec")).alias("vec_dim"))
-    return table.join(size, ["method", "pass_name"], "left").select("method", "pass_name", *names, F.coalesce("num_vectors", F.lit(0)).cast("bigint").alias("num_vectors"), F.coalesce("vec_dim", F.lit(0)).cast("int").alias("vec_dim"))
+        return evaluate(StandIn(spark, folder), kinds, cut_lineage(_judged(spark, folder)), k=TOP)
 
 
 DENSE_NAMES = {"va_second_half": "VA", "va_all": "VA-all-attn", "va_last": "VA-last-attn", "aligned_wva": "AlignedWVA", "expert_out_all": "ExpertOut-mean", "expert_out_attn": "ExpertOut-mean-attn-only", "expert_out_delta": "ExpertOut-mean-delta-only"}
 MULTI_NAMES = {"va_second_half": "ExpertPool-Value-attn", "va_all": "ExpertPool-Value-attn-all", "expert_out_all": "ExpertPool-ExpertOut-all", "expert_out_attn": "ExpertPool-ExpertOut-attn", "expert_out_delta": "ExpertPool-ExpertOut-delta", "tokens": "TokenLevel-HS-final"}
 
-QUERIES = {f.__name__: f for f in (seq_len, last_token_state, mean_state, final_tokens, attn_weights, routing_topk, va_mean, l2_normalize, multi_offsets, cosine_scores, sparse_cosine, maxsim, maxsim_arrow, fusion, topk, candidates, rerank, eval_rerank, results_table)}
+QUERIES = {f.__name__: f for f in (seq_len, last_token_state, mean_state, final_tokens, attn_weights, routing_topk, va_mean, l2_normalize, multi_offsets, cosine_scores, sparse_cosine, maxsim_arrow, fusion, topk, candidates, rerank, eval_rerank, results_table)}
 QUERIES |= {f"pool_{n}": _pool_query(f) for n, f in (("expert_out", "out"), ("expert_ffn", "ffn"), ("expert_contrib", "contrib"), ("va", "va"))}
 QUERIES |= {f"dense_{n}": _dense_query(m) for n, m in DENSE_NAMES.items()} | {f"multi_{n}": _multi_query(m) for n, m in MULTI_NAMES.items()}
 
@@ -426,17 +351,19 @@ select vec_id, dim, round(v / greatest(sqrt(sum(v * v) over (partition by vec_id
 select pass_name, text_id, vectors, cast(sum(vectors) over (partition by pass_name order by text_id) - vectors as bigint) as start from c""",
     "cosine_scores": _BASE + "select pass_name, query_id, doc_id, round(score, 6) + 0 as score from sc where method = 'KV-Embedding'",
     "sparse_cosine": _BASE + """select a.pass_name, a.text_id as query_id, b.text_id as doc_id, round(sum(a.v * b.v), 6) + 0 as score from nrm a join nrm b using (method, pass_name, dim)
-where method = 'MoEE-sparse' and a.text_id % 10 = 0 and b.text_id % 10 <> 0 and a.v > 0 and b.v > 0 group by all""",
-    "maxsim": _BASE + "select pass_name, query_id, doc_id, round(score, 6) + 0 as score from ms where method = 'ExpertPool-Value-attn'",
+where method = 'MoEE-sparse' and a.text_id % 10 = 0 and b.text_id % 10 <> 0 group by all""",
     "maxsim_arrow": _BASE + "select pass_name, query_id, doc_id, round(score, 6) + 0 as score from ms where method = 'ExpertPool-Value-attn'",
     "fusion": _BASE + "select pass_name, query_id, doc_id, round(score, 6) + 0 as score from alls where method = 'MoEE+VA-0.3'",
     "topk": _BASE + "select pass_name, query_id, doc_id, round(score, 6) + 0 as score, cast(rank as int) as rank from rk where method = 'LastToken-HS' and rank <= 10",
     "candidates": _BASE + "select * from cand",
     "rerank": _BASE + "select pass_name, query_id, doc_id, round(score, 6) + 0 as score, cast(rank as int) as rank from rk where method = 'RouteSig-then-ExpertPool-Value'",
     "eval_rerank": _BASE + "select * exclude (method) from res where method = 'RouteSig-then-ExpertPool-Value'",
-    "results_table": _BASE + """, size as (select method, pass_name, count(distinct text_id) as num_vectors, max(dim) + 1 as vec_dim from rep where text_id % 10 <> 0 group by all
-  union all select method, pass_name, count(*), 16 from mvec where text_id % 10 <> 0 group by all)
-select method, pass_name, ndcg_10, ndcg_100, recall_10, recall_100, coalesce(num_vectors, 0) as num_vectors, cast(coalesce(vec_dim, 0) as int) as vec_dim from res left join size using (method, pass_name)""",
+    "results_table": _BASE + """, own as (select method, pass_name, 1.0::double as nv, max(dim) + 1 as vd, 4 * count(*) as bytes from rep where text_id % 10 <> 0 group by all
+  union all select method, pass_name, count(*)::double / count(distinct text_id), 16, 4 * 16 * count(*) from mvec where text_id % 10 <> 0 group by all),
+size as (select * from own
+  union all select f.name, pass_name, 1.0::double, max(vd), sum(bytes) from own join (values ('MoEE+VA-0.3', 'VA'), ('MoEE+VA-0.5', 'VA'), ('MoEE+VA-0.7', 'VA'), ('MoEE+ExpertOut-0.5', 'ExpertOut-mean')) f(name, other) on method in ('MoEE', other) group by all
+  union all select r.name, pass_name, nv, vd, 0 from own join (values ('RouteSig-then-ExpertPool-Value', 'ExpertPool-Value-attn'), ('RouteSig-then-ExpertPool-ExpertOut', 'ExpertPool-ExpertOut-all'), ('RouteSig-then-TokenLevel-HS', 'TokenLevel-HS-final')) r(name, base) on method = base)
+select method, pass_name, ndcg_10, ndcg_100, recall_10, recall_100, round(nv, 6) as num_vectors, cast(vd as int) as vec_dim, cast(bytes as bigint) as index_bytes, case when method = 'MoEE-sparse' then 16.0::double end as avg_nonzero from res join size using (method, pass_name)""",
     "pool_expert_out": _BASE + _POOL_SQL + "po",
     "pool_expert_ffn": _BASE + _POOL_SQL + "pf",
     "pool_expert_contrib": _BASE + _POOL_SQL + "pc",

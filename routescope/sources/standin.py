@@ -63,6 +63,10 @@ class Architecture:
     def last(self) -> int:
         return self.tokens - 1
 
+    @property
+    def value_dim(self) -> int:
+        return self.hidden
+
     @property
     def head_dim(self) -> int:
         return self.hidden // self.heads
