@@ -16,11 +16,7 @@ def strip(c: Column) -> Column:
 def sort_key(id_: Column) -> list[Column]:
     """Digit ids first by number, then the others by code point; equal numbers by the id itself."""
     digits = id_.rlike("^[0-9]+$")
-    return [F.when(digits, 0).otherwise(1), F.when(digits, F.expr(f"try_cast({_name(id_)} as decimal(38,0))")), id_]
-
-
-def _name(c: Column) -> str:
-    return c._jc.toString()
+    return [F.when(digits, 0).otherwise(1), F.when(digits, id_.try_cast("decimal(38,0)")), id_]
 
 
 def human_duration(s: Column) -> Column:

@@ -29,6 +29,17 @@ def per_query(ranked: DataFrame, judged: DataFrame, cuts: tuple[int, ...] = (10,
     return met.select(*groups, "query_id", *out, (F.col("precisions") / F.col("relevant")).alias("average_precision"))
 
 
+def per_query_binary(ranked: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """nDCG and recall where documents are relevant or not. ranked: query_id, rank, rel (0 or 1) and relevant, the number of
+    relevant documents there are, so no list of judgements is needed; queries without one are left out."""
+    discount = lambda at: 1.0 / F.log2(at + 1)
+    found = [F.sum(F.when((F.col("rank") <= k) & (F.col("rel") > 0), discount(F.col("rank"))).otherwise(0.0)).alias(f"dcg_{k}") for k in cuts]
+    hits = [F.sum(F.when((F.col("rank") <= k) & (F.col("rel") > 0), 1).otherwise(0)).alias(f"hits_{k}") for k in cuts]
+    per = ranked.where("relevant > 0").groupBy("query_id", "relevant").agg(*found, *hits)
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + discount(i))
+    return per.select("query_id", *[(F.col(f"dcg_{k}") / ideal(k)).alias(f"ndcg_{k}") for k in cuts], *[(F.col(f"hits_{k}") / F.col("relevant")).alias(f"recall_{k}") for k in cuts])
+
+
 def summary(queries: DataFrame, names: list[str]) -> DataFrame:
     """Means over the queries, rounded."""
     groups = [c for c in ("method", "pass_name") if c in queries.columns]

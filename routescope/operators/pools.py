@@ -26,17 +26,17 @@ def combined_output(routing: DataFrame, top_k: int, experts: int) -> DataFrame:
     return per.select(*KEYS, "tok", scale(F.col("h"), F.col("f")).alias("vec"))
 
 
-def expert_pool(routing: DataFrame, values: DataFrame, shared: DataFrame, top_k: int, last: int) -> DataFrame:
+def expert_pool(routing: DataFrame, values: DataFrame, shared: DataFrame, top_k: int, last: int, dim: int) -> DataFrame:
     """For each expert of the last token (slot): the mean of ``values`` over the tokens routed to it, and the count.
 
     ``values``: KEYS, tok, expert (or none: the same vector whatever the expert), vec; ``shared``: KEYS, tok, vec, pooled
-    over all tokens into slot ``top_k``. A slot nothing was routed to has count 0 and a null vector.
+    over all tokens into slot ``top_k``. A slot nothing was routed to has count 0 and a zero vector of ``dim``.
     """
     routed = routing.where(F.col("slot") < top_k)
     slots = routed.where(F.col("tok") == last).select(*KEYS, "slot", "expert")
     hits = slots.join(routed.select(*KEYS, "expert", "tok"), [*KEYS, "expert"])
     on = [*KEYS, "tok", "expert"] if "expert" in values.columns else [*KEYS, "tok"]
     pooled = mean_vector(hits.join(values, on), [*KEYS, "slot"], "vec")
-    pooled = slots.select(*KEYS, "slot").join(pooled, [*KEYS, "slot"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    pooled = slots.select(*KEYS, "slot").join(pooled, [*KEYS, "slot"], "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)))
     whole = mean_vector(shared, KEYS, "vec").select(*KEYS, F.lit(top_k).alias("slot"), "vec", "count")
     return pooled.select(*KEYS, "slot", "vec", "count").unionByName(whole)

@@ -63,12 +63,19 @@ def prompt(kind: Column, text: Column) -> Column:
 
 
 def batch_status(records: DataFrame, done: DataFrame, passes: int) -> DataFrame:
-    """skip where every pass has an output, reset where some have, new where none has. done: text_id, pass_name."""
+    """skip where every pass has an output, reset where some have, new where none has; and each record's place among all,
+    documents first. done: text_id, pass_name."""
+    records = numbered(records, [F.when(F.col("kind") == "doc", 0).otherwise(1), F.col("ordinal")], "position")
     have = done.select("text_id", "pass_name").distinct().groupBy("text_id").agg(F.count("*").alias("outputs"))
     met = records.join(have, "text_id", "left").withColumn("outputs", F.coalesce("outputs", F.lit(0)))
     return met.withColumn("status", F.when(F.col("outputs") >= passes, "skip").when(F.col("outputs") > 0, "reset").otherwise("new"))
 
 
+def partial_outputs(status: DataFrame, done: DataFrame) -> DataFrame:
+    """The outputs of records to be reset, to be deleted before these are processed again."""
+    return done.join(status.where("status = 'reset'").select("text_id"), "text_id", "left_semi")
+
+
 def query_batches(pending: DataFrame, size: int) -> DataFrame:
     """pending: kind, ordinal, ... -> batch: documents alone, queries in batches of ``size`` in the order of their ordinals."""
     at = numbered(pending, [F.col("ordinal")], "place", within=["kind"])

@@ -181,7 +181,7 @@ def _compare(pairs: bool):
                 left, right = (np.array(z.field("text_id").to_pylist(), dtype=object) for z in (p, q))
                 once = left[:, None] < right[None, :] if batch.column("same")[i].as_py() else np.ones(common.shape, bool)
                 if pairs:
-                    r, c = np.nonzero(once & (common > 0))
+                    r, c = np.nonzero(once)
                     swap = left[r] > right[c]
                     yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, right[c], left[r]), pa.string()), pa.array(np.where(swap, left[r], right[c]), pa.string()), pa.array(similarity[r, c])], names=["a", "b", "jaccard"])
                 else:
@@ -208,7 +208,7 @@ def _block_pairs(active: DataFrame, judged: DataFrame | None, block: int, layers
 
 
 def jaccard_pairs(active: DataFrame, block: int = 2048, layers: int = 4, experts: int = 128) -> DataFrame:
-    """a < b, jaccard of every pair of texts with a common active (layer, expert): a full matrix, in blocks.
+    """a < b, jaccard of every pair of texts, 0 where nothing is common: a full matrix, in blocks.
 
     For large sets use the similarity join of the data pipeline, which returns only pairs above a threshold."""
     return _block_pairs(active, None, block, layers, experts).mapInArrow(_compare(True), "a string, b string, jaccard double")
@@ -235,3 +235,19 @@ def divergence_examples(per_token: DataFrame, tokens: DataFrame, texts: int = 10
     context = tokens.join(chosen, "text_id", "left_semi").withColumn("context", F.concat_ws(" ", F.collect_list(F.col("token_id").cast("string")).over(near)))
     w = Window.partitionBy("text_id").orderBy(F.desc("kl"), "tok")
     return mean.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).join(context, ["text_id", "tok"]).select("text_id", "place", "tok", "token_id", F.col("kl"), "context")
+
+
+def coactivation_lines(split: DataFrame) -> DataFrame:
+    """The four lines of the co-activation report from :func:`relevance_split`: line, value."""
+    mean = lambda c: F.when(F.isnan(c), "nan").otherwise(F.format_string("%.6f", c))
+    lines = [("Relevant-pair mean Jaccard similarity: ", mean("relevant_mean")), ("Non-relevant-pair mean Jaccard similarity: ", mean("other_mean")), ("Relevant pair count: ", F.col("relevant_pairs").cast("string")), ("Non-relevant pair count: ", F.col("other_pairs").cast("string"))]
+    return split.select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("line"), F.concat(F.lit(t), v).alias("value")) for i, (t, v) in enumerate(lines)])).alias("x")).select("x.line", "x.value")
+
+
+def example_lines(examples: DataFrame, top: int = 10) -> DataFrame:
+    """The lines of the examples' report: per text (ten of them at most) a heading, its tokens and an empty line."""
+    place = F.row_number().over(Window.orderBy("text_id")) - 1
+    texts = examples.select("text_id").distinct().withColumn("at", place * (top + 2))
+    head = texts.select((F.col("at") + 1).alias("line"), F.concat(F.lit("Document "), "text_id").alias("value"))
+    rows = examples.join(F.broadcast(texts), "text_id").select((F.col("at") + 1 + F.col("place")).alias("line"), F.format_string("  token_idx=%03d kl=%.6f token=%d context='%s'", "tok", "kl", "token_id", "context").alias("value"))
+    return head.unionByName(rows).unionByName(texts.select((F.col("at") + top + 2).alias("line"), F.lit("").alias("value")))

@@ -151,6 +151,16 @@ def jaccard_relevance(spark: SparkSession, folder: str) -> DataFrame:
     return A.relevance_split(active, judged)
 
 
+def coactivation_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The text report of co-activation: line, value."""
+    return A.coactivation_lines(jaccard_relevance(spark, folder))
+
+
+def delta_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The text report of divergent tokens: line, value; ids stand for tokens, as no tokenizer belongs to the data."""
+    return A.example_lines(kl_examples(spark, folder))
+
+
 def kl_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of the greatest divergence of ten sampled texts, with five tokens on either side."""
     per = cut_lineage(A.tokens_of(_compared(spark, folder), "kl"))
@@ -164,7 +174,12 @@ def kl_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 def _features(spark: SparkSession, folder: str, sample: int = 1000) -> DataFrame:
     """layer, text_id, vec of the first ``sample`` documents in the order of the records (a stated bound of the method)."""
-    docs = current_records(spark, folder).where("kind = 'doc'").where(F.col("ordinal") <= sample).select("text_id")
+    first = current_records(spark, folder).where(F.col("ordinal") <= sample)
+    docs = first.where("kind = 'doc'").select("text_id")
+    if docs.isEmpty():  # then the first records of any kind, which are queries
+        docs = first.select("text_id")
+        if docs.isEmpty():
+            raise ValueError("no records to sample layers from")
     rows = current(payload_rows(spark, folder, PASS_ALL, ["hs_last_token"])).join(docs, "text_id", "left_semi")
     layers = rows.select("text_id", F.posexplode("hs_last_token").alias("layer", "vec"))
     return _usable(layers).select("layer", "text_id", doubles(F.col("vec")).alias("vec"))
@@ -204,12 +219,16 @@ def embedding_search(spark: SparkSession, folder: str) -> DataFrame:
     q = rep.where("text_id % 50 = 0")
     scores = S.dense_scores(q.select("pass_name", "text_id", "vec"), rep.select("pass_name", "text_id", "vec"), 11).where("query_id <> doc_id")
     ranked = cut_lineage(S.best(scores, 10))
-    judged = q.select(F.col("text_id").alias("query_id"), "label").join(rep.select(F.col("text_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("rel"))
-    per = E.per_query(ranked, judged, (10,)).select("query_id", (F.round("ndcg_10", 6) + 0.0).alias("ndcg_10"), (F.round("recall_10", 6) + 0.0).alias("recall_10"))
+    # One count per label instead of a row per query and relevant vector; labels are compared at the ranked rows.
+    of_label = rep.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
+    relevant = q.join(of_label, "label").select(F.col("text_id").alias("query_id"), "relevant", F.col("label").alias("mine"))
+    found = rep.select(F.col("text_id").alias("doc_id"), "label")
+    graded = ranked.join(relevant, "query_id").join(found, "doc_id").withColumn("rel", (F.col("label") == F.col("mine")).cast("int"))
+    per = E.per_query_binary(graded, (10,)).select("query_id", (F.round("ndcg_10", 6) + 0.0).alias("ndcg_10"), (F.round("recall_10", 6) + 0.0).alias("recall_10"))
     return ranked.select("query_id", "doc_id", "rank", (F.round("score", 6) + 0.0).alias("score")).join(per, "query_id")
 
 
-QUERIES = {f.__name__: f for f in (sparse_moee, eval_dense, map_precision, kl_tokens, kl_layers, top1_changed, topk_changed, layerwise_table, active_experts, jaccard_pairs, jaccard_relevance, kl_examples, twonn_by_layer, layer_selection, layer_fallback, embedding_search)}
+QUERIES = {f.__name__: f for f in (sparse_moee, eval_dense, map_precision, kl_tokens, kl_layers, top1_changed, topk_changed, layerwise_table, active_experts, jaccard_pairs, jaccard_relevance, coactivation_report, delta_report, kl_examples, twonn_by_layer, layer_selection, layer_fallback, embedding_search)}
 QUERIES |= {n: _dense_query(m) for n, m in (("dense_last", "LastToken-HS"), ("dense_mean", "MeanPool-HS"), ("dense_hybrid", "KV-Embedding"), ("dense_moee", "MoEE"))}
 
 # SQL -----------------------------------------------------------------------------------------------------------
@@ -273,7 +292,7 @@ select pass_name, text_id, dim, round(w / greatest(sqrt(sum(w * w) over (partiti
     "topk_changed": _CUR + _END + _mean_sql("topk", "chg"),
     "layerwise_table": _CUR + f"""a as ({_mean_sql("kl", "kl")}), b as ({_mean_sql("top1", "chg")}), c as ({_mean_sql("topk", "chg")}) select a.layer, layer_type, kl, top1, topk from a join b using (layer) join c using (layer) join layers using (layer)""",
     "active_experts": _CUR + _END + "select * from act",
-    "jaccard_pairs": _CUR + _PAIR + _END + "select a, b, round(jaccard, 6) as jaccard from jac",
+    "jaccard_pairs": _CUR + _PAIR + _END + "select p.text_id as a, q.text_id as b, round(coalesce(jaccard, 0), 6) as jaccard from sz p join sz q on p.text_id < q.text_id left join jac on jac.a = p.text_id and jac.b = q.text_id",
     "jaccard_relevance": _CUR.replace("act as (select distinct", "act as (select * from (select distinct").replace("where e between 0 and 127),\n", "where e between 0 and 127) where text_id in (select text_id from rec where kind = 'doc')),\n") + _PAIR + """rl as (select distinct x.doc_id as a, y.doc_id as b from qrels x join qrels y using (query_id) where x.doc_id < y.doc_id and x.doc_id in (select text_id from sz) and y.doc_id in (select text_id from sz)),
 k as (select (select count(*) from sz) as n, (select count(*) from rl) as r, (select coalesce(sum(jaccard), 0) from jac where (a, b) in (select (a, b) from rl)) as i, (select coalesce(sum(jaccard), 0) from jac where (a, b) not in (select (a, b) from rl)) as o)
 select case when r > 0 then round(i / r, 6) else 'nan'::double end as relevant_mean, case when n * (n - 1) // 2 - r > 0 then round(o / (n * (n - 1) // 2 - r), 6) else 'nan'::double end as other_mean, r as relevant_pairs, cast(n * (n - 1) // 2 - r as bigint) as other_pairs from k""",
@@ -301,6 +320,14 @@ n as (select query_id, count(*) filter (same) as n from s group by 1),
 p as (select r.query_id, round(sum(case when same then ln(2) / ln(rank + 1) else 0 end) / list_sum(list_transform(range(1, least(any_value(n), 10) + 1), lambda i: ln(2) / ln(i + 1))), 6) as ndcg_10, round(count(*) filter (same) / any_value(n)::double, 6) as recall_10 from r join n on n.query_id = r.query_id where rank <= 10 and n > 0 group by 1)
 select r.query_id, doc_id, rank, round(score, 6) + 0 as score, ndcg_10, recall_10 from r join p on p.query_id = r.query_id where rank <= 10""",
 }
+ORACLE["coactivation_report"] = "with j as (" + ORACLE["jaccard_relevance"] + """)
+select 1 as line, 'Relevant-pair mean Jaccard similarity: ' || case when isnan(relevant_mean) then 'nan' else printf('%.6f', relevant_mean) end as value from j
+union all select 2, 'Non-relevant-pair mean Jaccard similarity: ' || case when isnan(other_mean) then 'nan' else printf('%.6f', other_mean) end from j
+union all select 3, 'Relevant pair count: ' || relevant_pairs from j union all select 4, 'Non-relevant pair count: ' || other_pairs from j"""
+ORACLE["delta_report"] = "with x as (" + ORACLE["kl_examples"] + """), t as (select text_id, row_number() over (order by text_id) as n from (select distinct text_id from x))
+select cast((n - 1) * 12 + 1 as int) as line, 'Document ' || text_id as value from t
+union all select cast((n - 1) * 12 + 1 + place as int), printf('  token_idx=%03d kl=%.6f token=%d context=%s', tok, kl, token_id, chr(39) || context || chr(39)) from x join t using (text_id)
+union all select cast(n * 12 as int), '' from t"""
 ORACLE["layer_selection"] = ORACLE["twonn_by_layer"].rsplit("select layer, case", 1)[0].rstrip().rstrip(",") + """,
 idd as (select layer, xy / xx as dimension from ls where points >= 3 and xx > 0), cnt as (select count(*) as c from layers),
 best as (select arg_min(layer, (dimension, layer)) as m from idd, cnt where layer >= cast(floor(0.2 * c) as int)),

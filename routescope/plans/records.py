@@ -11,6 +11,7 @@ from routescope.operators import records as R
 from routescope.sources.tables import PASS_ALL, PASS_PAPER, current, latest, table
 
 PASSES = (PASS_ALL, PASS_PAPER)
+PASS_LAYERS = {PASS_ALL: "attention", PASS_PAPER: "selected"}  # the second: see layer_selection
 BATCH = 8
 
 
@@ -43,9 +44,9 @@ def prompt_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_stand_in(spark: SparkSession, folder: str) -> DataFrame:
-    """White-space tokens of the stripped text, at most 512 a text (the extraction's length limit)."""
+    """White-space tokens of the prompt, at most 512 (the extraction's length limit): the end of a long prompt is lost."""
     r = current_records(spark, folder).where("text is not null")
-    words = F.slice(F.filter(F.split(strip(F.col("text")), f"{WHITE}+"), lambda w: w != ""), 1, 512)
+    words = F.slice(F.filter(F.split(strip(R.prompt(F.col("kind"), F.col("text"))), f"{WHITE}+"), lambda w: w != ""), 1, 512)
     return r.select("text_id", F.size(words).cast("bigint").alias("seq_len"), F.md5(F.concat_ws(" ", words)).alias("tokens_md5"))
 
 
@@ -77,12 +78,13 @@ def format_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 VECTOR_FIELDS = ("hs_last_token", "hs_mean", "routing_full_last")
+FLOAT_FIELDS = (*VECTOR_FIELDS, "routing_weights")
 
 
 def finite_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """Payload rows and layers whose vector holds a NaN or an infinity."""
-    p = table(spark, folder, "payloads").select("pass_name", "text_id", "written_at", "loaded_at", *VECTOR_FIELDS)
-    per = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("layers")) for f in VECTOR_FIELDS])).alias("v")
+    """Payload rows and layers whose floats, in any of the float columns, hold a NaN or an infinity."""
+    p = table(spark, folder, "payloads").select("pass_name", "text_id", "written_at", "loaded_at", *FLOAT_FIELDS)
+    per = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.transform(f, lambda t: F.flatten(t)) if f == "routing_weights" else F.col(f)).alias("layers")) for f in FLOAT_FIELDS])).alias("v")
     layers = p.select("pass_name", "text_id", "written_at", "loaded_at", per).select("pass_name", "text_id", "written_at", "loaded_at", F.col("v.field").alias("field"), F.posexplode("v.layers").alias("layer", "x"))
     return layers.where(~finite(F.col("x"))).select("pass_name", "text_id", "written_at", "loaded_at", "field", "layer")
 
@@ -94,7 +96,13 @@ def _done(spark: SparkSession, folder: str) -> DataFrame:
 
 def batch_status(spark: SparkSession, folder: str) -> DataFrame:
     out = R.batch_status(current_records(spark, folder).select("text_id", "kind", "ordinal"), _done(spark, folder), len(PASSES))
-    return out.select("text_id", "kind", "ordinal", F.col("outputs").cast("int").alias("outputs"), "status")
+    return out.select("text_id", "kind", "ordinal", F.col("position").cast("bigint").alias("position"), F.col("outputs").cast("int").alias("outputs"), "status")
+
+
+def reset_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """The outputs to delete: those of records that some pass has and another lacks."""
+    done = _done(spark, folder)
+    return R.partial_outputs(batch_status(spark, folder), done).select("text_id", "pass_name")
 
 
 def query_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,9 +110,10 @@ def query_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pass_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record with every pass and the path of its output."""
-    r = current_records(spark, folder).select("text_id", "filename", F.explode(F.array(*[F.lit(p) for p in PASSES])).alias("pass_name"))
-    return r.select("text_id", "pass_name", F.concat_ws("/", F.lit("embeddings"), "pass_name", "filename").alias("path"))
+    """Every record with every pass: how the pass reroutes attention, in which layers, and the path of the output."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pass_name"), F.lit("self").alias("mode"), F.lit(layers).alias("layer_set")) for p, layers in PASS_LAYERS.items()])).alias("p")
+    r = current_records(spark, folder).select("text_id", "filename", each).select("text_id", "filename", "p.*")
+    return r.select("text_id", "pass_name", "mode", "layer_set", F.concat_ws("/", F.lit("embeddings"), "pass_name", "filename").alias("path"))
 
 
 def cache_key(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +125,7 @@ def cache_key(spark: SparkSession, folder: str) -> DataFrame:
     return seen.select("pass_name", F.substring(F.sha1(key), 1, 16).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (records_build, records_limit, prompt_text, token_stand_in, qrels_semi, judgements, format_duration, format_bytes, finite_violations, batch_status, query_batches, pass_plan, cache_key)}
+QUERIES = {f.__name__: f for f in (records_build, records_limit, prompt_text, token_stand_in, qrels_semi, judgements, format_duration, format_bytes, finite_violations, batch_status, reset_outputs, query_batches, pass_plan, cache_key)}
 
 _REC = """with rec as (select * exclude (rk) from (select *, row_number() over (partition by text_id order by loaded_at desc) as rk from records where text_id is not null) where rk = 1)"""
 _JUDGED = """jud as (select query_id, doc_id, rel from (select *, row_number() over (partition by query_id, doc_id order by judged_at desc nulls last, loaded_at desc nulls last, rel desc) as rk
@@ -124,7 +133,8 @@ _JUDGED = """jud as (select query_id, doc_id, rel from (select *, row_number() o
 _DONE = """done as (select text_id, pass_name from (select pass_name, text_id, hs_last_token is not null and hs_mean is not null and routing_full_last is not null as ok,
   row_number() over (partition by pass_name, text_id order by written_at desc, loaded_at desc) as rk from payloads where text_id is not null) where rk = 1 and ok)"""
 _STATUS = f"""{_REC}, {_DONE}, st as (select rec.text_id, kind, ordinal, cast(count(distinct pass_name) as int) as outputs from rec left join done on done.text_id = rec.text_id group by all),
-status as (select *, case when outputs >= 2 then 'skip' when outputs > 0 then 'reset' else 'new' end as status from st)"""
+ps as (select *, row_number() over (order by case kind when 'doc' then 0 else 1 end, ordinal) as position from st),
+status as (select *, case when outputs >= 2 then 'skip' when outputs > 0 then 'reset' else 'new' end as status from ps)"""
 
 
 def _strip_sql(x: str) -> str:
@@ -141,7 +151,8 @@ select kind, ordinal, text_id, md5(text) as text_md5, case when kind = 'doc' the
     "records_limit": f"{_REC} select kind, ordinal, text_id from rec where (kind = 'doc' and ordinal <= 100) or (kind = 'query' and ordinal <= 20)",
     "prompt_text": f"""{_REC} select text_id, kind, case when kind = 'doc' then 'Context' else 'Query' end || ': ' || text || chr(10) || 'Compress the ' ||
   case when kind = 'doc' then 'Context' else 'Query' end || ' in one word:' as prompt from rec where text is not null""",
-    "token_stand_in": f"""{_REC}, w as (select text_id, list_filter(regexp_split_to_array({_strip_sql('text')}, '{WHITE}+'), lambda x: x <> '')[1:512] as w from rec where text is not null)
+    "token_stand_in": f"""{_REC}, p as (select text_id, case when kind = 'doc' then 'Context' else 'Query' end || ': ' || text || chr(10) || 'Compress the ' || case when kind = 'doc' then 'Context' else 'Query' end || ' in one word:' as text from rec where text is not null),
+w as (select text_id, list_filter(regexp_split_to_array({_strip_sql('text')}, '{WHITE}+'), lambda x: x <> '')[1:512] as w from p)
 select text_id, cast(len(w) as bigint) as seq_len, md5(array_to_string(w, ' ')) as tokens_md5 from w""",
     "qrels_semi": f"""{_REC}, {_JUDGED} select r.text_id as query_id, cast((select count(*) from jud j join rec d on d.text_id = j.doc_id and d.kind = 'doc' where j.query_id = r.text_id) as bigint) as known_docs
 from rec r where kind = 'query' and text_id in (select query_id from jud)""",
@@ -154,11 +165,12 @@ select *, case when seconds < 60 then printf('%.1fs', seconds) when floor(second
 with b as (select doc_id, cast(strlen(text) as bigint) * cast(power(1024, doc_id % 5) as bigint) as bytes from documents where text is not null and doc_id is not null)
 select *, case when bytes < 1024 then printf('%.2f B', cast(bytes as double)) when bytes < 1048576 then printf('%.2f KB', bytes / 1024.0::double) when bytes < 1073741824 then printf('%.2f MB', bytes / 1048576.0::double)
   when bytes < 1099511627776 then printf('%.2f GB', bytes / 1073741824.0::double) else printf('%.2f TB', bytes / 1099511627776.0::double) end as printed from b""",
-    "finite_violations": " union all ".join(f"select pass_name, text_id, written_at, loaded_at, '{f}' as field, cast(layer as int) as layer from (select *, unnest({f}) as x, generate_subscripts({f}, 1) - 1 as layer from payloads) where x is null or len(list_filter(x, lambda e: e is null or isnan(e) or isinf(e))) > 0" for f in VECTOR_FIELDS),
-    "batch_status": f"{_STATUS} select * from status",
+    "finite_violations": " union all ".join(f"select pass_name, text_id, written_at, loaded_at, '{f}' as field, cast(layer as int) as layer from (select *, unnest({'list_transform(routing_weights, lambda t: flatten(t))' if f == 'routing_weights' else f}) as x, generate_subscripts({f}, 1) - 1 as layer from payloads) where x is null or len(list_filter(x, lambda e: e is null or isnan(e) or isinf(e))) > 0" for f in FLOAT_FIELDS),
+    "batch_status": f"{_STATUS} select text_id, kind, ordinal, position, outputs, status from status",
+    "reset_outputs": f"{_STATUS} select done.text_id, done.pass_name from done join status on done.text_id = status.text_id where status = 'reset'",
     "query_batches": f"""{_STATUS}, pend as (select *, row_number() over (partition by kind order by ordinal) as rn from status where status <> 'skip')
 select kind, ordinal, text_id, cast(case when kind = 'query' then (rn - 1) // 8 else rn - 1 end as int) as batch from pend""",
-    "pass_plan": f"{_REC} select text_id, p as pass_name, 'embeddings/' || p || '/' || filename as path from rec, (select unnest(['rerouted', 'paper_rerouted']) as p)",
+    "pass_plan": f"{_REC} select text_id, p as pass_name, 'self' as mode, case p when 'rerouted' then 'attention' else 'selected' end as layer_set, 'embeddings/' || p || '/' || filename as path from rec, (select unnest(['rerouted', 'paper_rerouted']) as p)",
     "cache_key": """
 with s as (select pass_name, count(*) as n, sum(cast('0x' || substr(md5(text_id || '|' || epoch_us(written_at)), 1, 8) as bigint)) as s from payloads group by 1)
 select pass_name, substr(sha1('dense,' || pass_name || ',doc,hs_mean,' || n || ',' || s), 1, 16) as key from s""",

@@ -65,16 +65,16 @@ def _pool(spark: SparkSession, folder: str, family: str) -> DataFrame:
     half = P.scale(F.col("h"), F.lit(0.5))
     gated = P.scale(F.col("h"), 0.5 * sigmoid(F.col("h")[0]))
     if family == "out":
-        return P.expert_pool(r, P.combined_output(r, ARCH.top_k, ARCH.experts), every.select(*keys, gated.alias("vec")), ARCH.top_k, ARCH.last)
+        return P.expert_pool(r, P.combined_output(r, ARCH.top_k, ARCH.experts), every.select(*keys, gated.alias("vec")), ARCH.top_k, ARCH.last, ARCH.hidden)
     if family == "va":
         on = F.col("layer").isin(*ATTENTION)
         value = every.where(on).select(*keys, F.col("h").alias("vec"))
-        return P.expert_pool(r.where(on), value, value, ARCH.top_k, ARCH.last)
+        return P.expert_pool(r.where(on), value, value, ARCH.top_k, ARCH.last, ARCH.hidden)
     own = P.own_output(F.col("h"), F.col("expert"), ARCH.experts)
     if family == "ffn":
-        return P.expert_pool(r, routed.select(*keys, "expert", own.alias("vec")), every.select(*keys, half.alias("vec")), ARCH.top_k, ARCH.last)
+        return P.expert_pool(r, routed.select(*keys, "expert", own.alias("vec")), every.select(*keys, half.alias("vec")), ARCH.top_k, ARCH.last, ARCH.hidden)
     weighted = P.scale(own, F.col("weight"))
-    return P.expert_pool(r, routed.select(*keys, "expert", weighted.alias("vec")), every.select(*keys, gated.alias("vec")), ARCH.top_k, ARCH.last)
+    return P.expert_pool(r, routed.select(*keys, "expert", weighted.alias("vec")), every.select(*keys, gated.alias("vec")), ARCH.top_k, ARCH.last, ARCH.hidden)
 
 
 def _pool_query(family: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -6,9 +6,12 @@ import hashlib
 import json
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routescope.functions.vectors import finite
+
 MANIFEST = "kind string, ordinal int, text_id string, filename string"
 
 
@@ -59,10 +62,26 @@ def representation_key(settings: dict, data: dict) -> str:
 
 
 def materialised(spark: SparkSession, root: str, key: str, build, rebuild: bool = False) -> DataFrame:
-    """Read-through store: the representation under ``key``, built and written if it is missing or to be rebuilt."""
+    """Read-through store: the representation under ``key``, built and written if it is missing or to be rebuilt. Every
+    vector that comes out of the store is checked: a null, NaN or infinity in one is an error."""
     path = f"{root}/representations/{key}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    if rebuild or not there:
+    if rebuild or not _committed(spark, path):
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}.done")
+    found = spark.read.parquet(path)
+    vectors = [c for c, t in found.dtypes if t in ("array<double>", "array<float>")]
+    wrong = F.raise_error(F.lit(f"non-finite values in the stored representation {key}"))
+    return found.select(*[F.when(finite(F.col(c)), F.col(c)).otherwise(wrong).alias(c) if c in vectors else c for c in found.columns])
+
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Whether the table beside this mark is whole: the mark is written after it. Any file system Spark reads from."""
+    try:
+        return not spark.read.parquet(f"{path}.done").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def write_text(path: str, lines: list[str]) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from routescope.operators.records import prompt
+from routescope.sources.tables import latest
 
+RECORD = "kind string, ordinal int, text_id string, text string, filename string, created_at timestamp_ntz, loaded_at timestamp_ntz"
 
-def record_stream(spark: SparkSession, folder: str, late: str = "2 days") -> DataFrame:
-    """Records as they are delivered to ``folder`` (Parquet); a text delivered again within ``late`` is dropped.
 
-    State is bounded by the watermark: a redelivery later than that comes through again and is settled by the sink's
-    reader, which keeps the latest row of a text.
-    """
-    schema = "kind string, ordinal int, text_id string, text string, filename string, created_at timestamp_ntz, loaded_at timestamp_ntz"
-    rows = spark.readStream.schema(schema).parquet(folder).withColumn("loaded", F.col("loaded_at").cast("timestamp"))
-    return rows.where("text_id is not null").withWatermark("loaded", late).dropDuplicatesWithinWatermark(["text_id"])
+def record_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Records as they are delivered to ``folder`` (Parquet)."""
+    return spark.readStream.schema(RECORD).parquet(folder)
 
 
-def plan_stream(records: DataFrame, passes: tuple[str, ...]) -> DataFrame:
-    """One row of work per record and pass: text_id, pass_name, path, prompt. Null texts wait for a delivery with one."""
-    work = records.where("text is not null").withColumn("pass_name", F.explode(F.array(*[F.lit(p) for p in passes])))
+def plan_rows(records: DataFrame, passes: tuple[str, ...]) -> DataFrame:
+    """One row of work per record and pass: text_id, pass_name, path, prompt."""
+    work = records.withColumn("pass_name", F.explode(F.array(*[F.lit(p) for p in passes])))
     return work.select("text_id", "pass_name", F.concat_ws("/", F.lit("embeddings"), "pass_name", "filename").alias("path"), prompt(F.col("kind"), F.col("text")).alias("prompt"))
 
 
-def run_available(plan: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Process what has been delivered so far and stop; the next call goes on from there, exactly once."""
-    return plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("pass_name").trigger(availableNow=True).start()
+def run_available(records: DataFrame, passes: tuple[str, ...], out: str, checkpoint: str) -> StreamingQuery:
+    """Plan what has been delivered so far and stop; the next call goes on from there.
+
+    A text is planned once, with the first delivery that has a text, however late it comes: a null text waits, and what
+    the written plan already holds is left out. Each batch replaces its own directory, so a batch that is run again
+    after a failure leaves no second copy.
+    """
+
+    def plan(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = latest(batch.where("text is not null"), ["text_id"], ["loaded_at"])
+        try:
+            known = spark.read.parquet(out).where(F.col("batch") < number).select("text_id").distinct()
+            fresh = fresh.join(known, "text_id", "left_anti")
+        except AnalysisException:
+            pass  # nothing planned yet
+        plan_rows(fresh, passes).write.mode("overwrite").partitionBy("pass_name").parquet(f"{out}/batch={number}")
+
+    return records.writeStream.foreachBatch(plan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from routescope.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings records qrels payloads layers eval_items".split()
-CHECKED = ["records_build", "prompt_text", "qrels_semi", "finite_violations", "batch_status", "query_batches", "dense_hybrid", "sparse_moee", "kl_layers", "topk_changed", "jaccard_relevance", "layer_selection", "embedding_search", "pool_expert_contrib", "dense_aligned_wva", "multi_va_all"]
+CHECKED = sorted(registry.QUERIES)
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables absent")
 
 

@@ -1,13 +1,17 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from routescope.config import ProjectFolders, Timings
 from routescope.functions.text import human_bytes, human_duration, sort_key, strip
 from routescope.functions.vectors import finite, softmax, unit
 from routescope.operators.components import components
 from routescope.operators.layers import fallback_layers, select_layers
-from routescope.operators.metrics import per_query
-from routescope.operators.records import batch_status, document_text, filename, limited, numbered, prompt, query_batches
+from routescope.operators.metrics import per_query, per_query_binary
+from routescope.operators.pools import expert_pool
+from routescope.operators.records import batch_status, document_text, filename, limited, numbered, partial_outputs, prompt, query_batches
+from routescope.plans.payloads import _features
 
 
 def rows(df):
@@ -108,3 +112,51 @@ def test_layer_selection():
     assert far.global_layers == (5, 6, 7) and far.attention_layers == (9, 15)
     assert select_layers({0: math.nan}, [1, 3], 4) == fallback_layers([1, 3], 4, "no finite score")
     assert fallback_layers([1, 3, 5], 6, "x").attention_layers == (3, 5)
+
+
+def test_a_slot_nothing_was_routed_to_is_zero(spark):
+    key = "pass_name string, text_id string, layer int, tok int, "
+    routing = spark.createDataFrame([("p", "t", 0, 1, 0, 3), ("p", "t", 0, 1, 1, 5), ("p", "t", 0, 1, 2, 9), ("p", "t", 0, 0, 0, 3)], key + "slot int, expert int")
+    values = spark.createDataFrame([("p", "t", 0, 1, 3, [1.0, 2.0]), ("p", "t", 0, 0, 3, [3.0, 6.0])], key + "expert int, vec array<double>")
+    shared = spark.createDataFrame([("p", "t", 0, 1, [4.0, 4.0])], key + "vec array<double>")
+    got = {r["slot"]: (r["count"], r["vec"]) for r in expert_pool(routing, values, shared, 2, 1, 2).collect()}
+    assert got == {0: (2, [2.0, 4.0]), 1: (0, [0.0, 0.0]), 2: (1, [4.0, 4.0])}
+
+
+def test_layers_are_sampled_from_queries_where_there_are_no_documents(spark, tmp_path):
+    records = [("query", i, f"q{i}", "x", f"query_{i:06d}.npz") for i in range(1, 6)]
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    spark.createDataFrame(records, "kind string, ordinal int, text_id string, text string, filename string").withColumn("loaded_at", at).write.parquet(str(tmp_path / "records.parquet"))
+    rows = [("rerouted", f"q{i}", [[float(i), 1.0]]) for i in range(1, 6)]
+    spark.createDataFrame(rows, "pass_name string, text_id string, hs_last_token array<array<float>>").withColumn("written_at", at).withColumn("loaded_at", at).write.parquet(str(tmp_path / "payloads.parquet"))
+    assert sorted(r["text_id"] for r in _features(spark, str(tmp_path), 3).collect()) == ["q1", "q2", "q3"]
+    spark.createDataFrame([], "kind string, ordinal int, text_id string, loaded_at timestamp_ntz").write.mode("overwrite").parquet(str(tmp_path / "records.parquet"))
+    with pytest.raises(ValueError):
+        _features(spark, str(tmp_path), 3)
+
+
+def test_positions_and_partial_outputs(spark):
+    records = spark.createDataFrame([("q1", "query", 1), ("d2", "doc", 2), ("d1", "doc", 1)], "text_id string, kind string, ordinal int")
+    done = spark.createDataFrame([("d1", "a"), ("d1", "b"), ("q1", "a")], "text_id string, pass_name string")
+    status = batch_status(records, done, 2)
+    assert {r["text_id"]: (r["position"], r["status"]) for r in status.collect()} == {"d1": (1, "skip"), "d2": (2, "new"), "q1": (3, "reset")}
+    assert [tuple(r) for r in partial_outputs(status, done).select("text_id", "pass_name").collect()] == [("q1", "a")]
+
+
+def test_binary_metric_equals_the_graded_one(spark):
+    ranked = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3), ("r", "a", 1)], "query_id string, doc_id string, rank int")
+    judged = spark.createDataFrame([("q", "a", 1), ("q", "c", 1), ("q", "x", 1)], "query_id string, doc_id string, rel int")
+    graded = ranked.withColumn("rel", F.col("doc_id").isin("a", "c").cast("int")).withColumn("relevant", F.when(F.col("query_id") == "q", 3).otherwise(0))
+    a, b = per_query(ranked, judged, (2,)).collect(), per_query_binary(graded, (2,)).collect()
+    assert [(r["query_id"], round(r["ndcg_2"], 9), round(r["recall_2"], 9)) for r in a] == [(r["query_id"], round(r["ndcg_2"], 9), round(r["recall_2"], 9)) for r in b]
+
+
+def test_settings_and_timings(tmp_path):
+    folders = ProjectFolders(str(tmp_path / "x")).made()
+    assert (tmp_path / "x" / "embeddings" / "paper_rerouted").is_dir() and folders.of_pass("rerouted").endswith("embeddings/rerouted")
+    with pytest.raises(ValueError):
+        folders.of_pass("other")
+    t = Timings(peak_bytes=2 * 1024**3)
+    t.add("rerouted", 100.0, 40)
+    t.add("rerouted", 19.7, 10)
+    assert t.lines() == ["rerouted: total 1m 60s", "rerouted: mean 2.3940s a text over 50 texts", "peak memory: 2.00 GB", "end to end: 1m 60s"]
