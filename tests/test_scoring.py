@@ -108,7 +108,7 @@ def test_similarity_split_counts_disjoint_pairs(spark):
         assert (r["relevant_mean"], r["relevant_pairs"], r["other_pairs"]) == (1.0, 1, 5)
         assert abs(r["other_mean"] - round((0.5 + 0.5) / 5, 6)) < 1e-9
         pairs = {(x["a"], x["b"]): x["jaccard"] for x in routing.jaccard_pairs(active, block=block).collect()}
-        assert pairs == {("a", "b"): 1.0, ("a", "d"): 0.5, ("b", "d"): 0.5}
+        assert pairs == {("a", "b"): 1.0, ("a", "d"): 0.5, ("b", "d"): 0.5, ("a", "c"): 0.0, ("b", "c"): 0.0, ("c", "d"): 0.0}
 
 
 def test_two_nearest_neighbours(spark):
