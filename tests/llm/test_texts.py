@@ -208,6 +208,15 @@ HELD_OUT = [
     "Корабль вышел, т. е. уплыл.| «Куда он плывёт?» — спросил д-р Орлов.| Взяты канат, парус и др.| Вес 4,5 кг (рис. 8).", "船は出た。|「風は吹くか？」という声がある。|「船は速い。」と彼は言った。|重さは（4.5kg）だ。", "船离开了。|“风大吗？”船长问道。|他写道：“船很快。”|帆破了……随后修好了。",
     "เรือออกไปแล้ว| ลมแรงมาก 12 เมตร| คลื่นสูง", "السفينة غادرت.| هل عادت 3.5 مرات؟| نعم.", "जहाज़ गया।| क्या वह लौटा 2.5 दिन में?| हाँ।", "Το πλοίο έφυγε.| Πού πήγε;| Γύρισε.", "መርከቡ ሄደ።| ተመለሰ?| አዎ።", "جہاز گیا۔| کیا وہ 3.5 بجے آیا؟| ہاں۔",
     "Sea log\n\nThe ship left.|\n\nReturn\n\nIt came\nback late.| All slept",
+    "The cook peeled 3.5 kg of carrots.| Then Mr. Flint, i.e. the owner, came in.| 18 plates broke.|", "Is the soup hot?| L. Grant tasted it.| It lacked salt, pepper, etc.| She frowned.|", "Lunch starts at 11 a.m. and ends at 2 p.m.| The staff rest.| See Vol. 3, No. 8 (Fig. 6).|",
+    "The chef vs. the waiter was loud.| Use e.g. butter.| Bake at 190.| Serve.|", "The menu read: “Fish is gone.”| 7 of 12 guests left.| “Any soup?” asked Prof. Bell.|", "Order R-12 uses part GH9.| 25 of 31 parts fit.| tQX3 did not.|", "He paused ... and poured the tea.| (The tap dripped.)| Was it fixed…?| No.",
+    "Recipes\n\nBoil the rice.| Drain it.|\n\nDrinks\n\nChill the juice", "The pot held 1,204.8 ml.| The lid held .75 ml.| Version v2.0.1 of the oven failed!| Why?", "Peel, cut, etc. and boil.| Dr. Nash ate.| K. L. Marsh and J. Bell cooked.|",
+    "Der Koch wog ca. 2,5 kg Mehl (Abb. 4).| Am 3. März briet er Fisch usw.| Die Gäste aßen.|", "„Ist die Suppe heiß?“, fragte Prof. Kern.| Am 19. Juli aß er z. B. Brot.| Es schmeckte!|", "Es gab Salz bzw. Pfeffer, d. h. Gewürz.| Wer kochte?| Dr. Kern kochte.|",
+    "M. Lebrun écrit : « La soupe est froide. »| « Le pain est dur ? » demande Mme Petit.| Il pèse env. 2,5 kg ; il refroidit.|", "Le four (cf. fig. 6) chauffe.| Un plat, p. ex. le riz, cuit.| Pourquoi attendre ?|", "El Sr. Prado dijo: «La sopa hierve».| ¿Quién come?| ¡Nadie!| Pesa aprox. 1,5 kg.|", "La Dra. Sol usa p. ej. sal.| El pan (fig. 3) sube.| Todo huele bien.|",
+    "Суп остыл, т. е. замёрз.| «Кто варил?» — спросил д-р Зимин.| Есть соль, перец и др.| Гости ели (рис. 4).|", "Рыба весит 2,5 кг.| Хлеб готов!| Где нож?|", "汤凉了。|“盐够吗？”厨师问道。|他写道：“鱼熟了。”|锅破了……后来补好了。|", "面条煮好了！|谁来吃？|（重1.5公斤）没人知道。|", "米饭熟了。|\n茶也好了。| 客人来了。|",
+    "「塩は足りるか？」という声が聞こえる。|鍋は重い。|なぜ魚は焦げたのか？|", "魚が焼けた。|「米は炊けた。」と料理人は言った。|皿が割れた（2枚）。|", "แม่ครัวทำแกง| ใส่เกลือ 3 ช้อน| ทุกคนอิ่ม", "ปลาสดมาก| ราคา 45 บาท| ขายหมดแล้ว",
+    "الطعام جاهز.| هل الملح كاف 2.5 مرة؟| الضيوف هنا.|", "الخبز ساخن؛ الشاي بارد.| من الطباخ؟| لا أحد.|", "کھانا تیار ہے۔| کیا نمک 1.5 چمچ ہے؟| مہمان آئے۔|", "खाना तैयार है।| क्या नमक 1.5 चम्मच है?| मेहमान आए!| सब ने खाया।|",
+    "ምግቡ ደረሰ።| ጨው 1.5 ማንኪያ ነው?| እንግዶች መጡ።|", "Το φαγητό είναι έτοιμο.| Πού είναι το αλάτι;| Έβαλε 1.5 κουτάλι.|", "The stew cooked; the bread burned.| The cook said “Stop. Wait.” and ran.| It was over",
 ]
 
 
@@ -218,7 +227,34 @@ def test_held_out_sentences():
         want |= {len(text.rstrip())} | {i for i in range(1, len(text)) if text[i : i + 2] == "\n\n"}
         got = set(p9_sentences.ends(text))
         good, found, wanted = good + len(got & want), found + len(got), wanted + len(want)
-    assert good / found >= 0.97 and good / wanted >= 0.97, (good, found, wanted)
+    assert len(HELD_OUT) >= 40 and good / found >= 0.98 and good / wanted >= 0.98, (good, found, wanted)
+
+
+def test_quotations_of_any_length_end_nothing_inside():
+    for size in (100, 3000, 60_000):
+        inner = "It rained. It snowed. " * (size // 20)
+        text = f"He said “{inner}and it stopped” and left. They ate."
+        assert p9_sentences.ends(text) == [len(text) - 10, len(text)], size
+    stray = "A “stray mark. " * 3000
+    assert len(p9_sentences.ends(stray)) >= 3000
+
+
+def test_abbreviations_learned_from_the_documents(spark):
+    rows = [(f"We measured the wall with the klp. of the house and the klp. was long. The day {i} ended. Klp. means rule.",) for i in range(40)]
+    df = spark.createDataFrame(rows, "text string")
+    assert p9_sentences.abbreviations(df) == {"klp"} and p9_sentences.abbreviations(df.limit(0)) == frozenset()
+    text = "The klp. North is old. We left."
+    assert p9_sentences.ends(text, p9_sentences.model(frozenset({"klp"}))) == [22, 31]
+
+
+def test_training_text_is_read_as_labelled():
+    good = found = wanted = 0
+    for example in p9_sentences.EXAMPLES:
+        text, want = p9_sentences._labelled(example)
+        want |= {len(text.rstrip())} | {i for i in range(1, len(text)) if text[i : i + 2] == "\n\n"}
+        got = set(p9_sentences.ends(text))
+        good, found, wanted = good + len(got & want), found + len(got), wanted + len(want)
+    assert good / found >= 0.99 and good / wanted >= 0.99
 
 
 def test_sentences_of_a_table(spark):
