@@ -18,7 +18,7 @@ These counts cover all documents; a word is kept if it makes at least ``share``
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -236,7 +236,12 @@ class Model:
     def __init__(self, words: Words):
         self.words = words
         self.weight: dict[str, float] = defaultdict(float)
-        self.score = lru_cache(maxsize=65536)(self._score)
+        self._cached = lru_cache(maxsize=65536)(self._score)
+
+    def score(self, context: tuple[str, ...]) -> float:
+        if len(context) == 7 and context[4] and context[4] not in self.words.labelled and context[4] not in self.words.corpus:
+            context = (*context[:4], "", *context[5:])  # a word nothing is known of
+        return self._cached(context)
 
     def _score(self, context: tuple[str, ...]) -> float:
         return sum(self.weight.get(f, 0.0) for f in features(context, self.words))
@@ -349,22 +354,22 @@ def ends(text: str, by: Model | None = None) -> list[int]:
     return [end for (end, _), tag in zip(found, (by or model()).decode(found), strict=True) if tag]
 
 
-_BEFORE = re.compile(r"([^\s(«„“（「\[.]+(?:\.[^\s(«„“（「\[.]+)*)(\.(?=\s+(\w)?)|(?=[\s,;:!?]))")
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per Arrow batch and word: how often with a mark behind it, with a small letter after that, and without a mark."""
     for batch in batches:
-        seen: dict[str, list[int]] = {}
+        tokens: Counter[str] = Counter()
+        small: Counter[str] = Counter()
         for text in batch.column("text").to_pylist():
-            for token, mark, after in _BEFORE.findall(text):
-                if len(token) <= 12 and (w := _word(token)):
-                    n = seen.setdefault(w, [0, 0, 0])
-                    if mark:
-                        n[0] += 1
-                        n[1] += after.islower()
-                    else:
-                        n[2] += 1
+            found = text.split()
+            tokens.update(found)
+            small.update([a for a, b in zip(found, found[1:]) if a[-1] == "." and b[0].islower()])
+        seen: dict[str, list[int]] = {}
+        for token, n in tokens.items():
+            marked = token[-1] == "."
+            if len(token) <= 16 and (w := _word(token.lstrip("(«„“（「[")[:-1] if marked else token.strip("(«„“（「[,;:!?)」）”»]"))):
+                held = seen.setdefault(w, [0, 0, 0])
+                held[0 if marked else 2] += n
+                held[1] += small[token] if marked else 0
         rows = [(w, *n) for w, n in seen.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["word", "marked", "small", "bare"])
