@@ -203,7 +203,7 @@ def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
     placed = p7_packing(spark, folder)
     per = placed.groupBy("container").agg(F.sum("tokens").alias("used"))
     over = per.agg(F.count(F.when(F.col("used") > CAPACITY, 1)).alias("overfull"))
-    docs = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.sum(F.col("start_token") // CAPACITY).alias("order"))
+    docs = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.sum((F.col("start_token") / CAPACITY).cast("bigint")).alias("order"))
     wrong = (F.col("tokens") != F.col("end")) | (F.col("order") != F.expr("pieces * (pieces - 1) div 2"))
     total = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum("pieces"), F.lit(0)).cast("bigint").alias("pieces"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"), F.count(F.when(wrong, 1)).alias("misplaced"))
     return total.crossJoin(over)  # one row each
