@@ -45,7 +45,7 @@ BRACKETS = set("()（）[]")
 _UNSPACED = "฀-໿က-႟ក-៿"
 _STEP = re.compile(rf"(?P<para>\r?\n[^\S\n]*\n\s*)|(?P<mark>[{re.escape(MARKS)}]+)|(?P<open>[“„«「『(（\[])|(?P<close>[”»」』)）\]])|(?P<gap>(?<=[{_UNSPACED}])\s+(?=\S)(?!\n[^\S\n]*\n))")
 _STRIPPED_GAP = re.compile(r"\s+(?=\S)")
-_TOKEN = re.compile(r"[^\s(«„“（「\[]*$")
+_OPENING = re.compile(r"[(«„“（「\[]")
 _LAST_WORD = re.compile(r"(\w*)\s*$")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 _SPACE = re.compile(r"\s*")
@@ -72,6 +72,13 @@ def _kind(text: str, j: int) -> str:
     return "other"
 
 
+def _token(before: str) -> str:
+    """What stands before a mark, back to white space or an opening quote or bracket."""
+    if not before or before[-1].isspace():
+        return ""
+    return _OPENING.split(before.rsplit(None, 1)[-1])[-1]
+
+
 @lru_cache(maxsize=65536)
 def _word(token: str) -> str:
     """The word before a mark as it is counted: small letters, with inner marks, without a sentence before it that has no
@@ -177,7 +184,7 @@ def choices(text: str) -> list[tuple[int, tuple[str, ...]]]:
             if white.count("\n") > 1:
                 out.append((pos, ("end", "paragraph")))
                 continue
-            token = _TOKEN.search(text, max(first, a - TOKEN_CHARS), a).group() if kind == "dot" else ""
+            token = _token(text[max(first, a - TOKEN_CHARS) : a]) if kind == "dot" else ""
             inside = stack[-1][1] if stack else "out"
             shape, word = _shape(token), _word(token)
             if shape == "ordinal":  # the word before it tells a day or a rank from a number
