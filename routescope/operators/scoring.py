@@ -3,6 +3,9 @@
 Dense scores are computed block by block: queries and documents are packed into blocks of a bounded number of
 vectors, each query block meets each document block through an equi-join on the block number, and one matrix
 product per pair of blocks gives the scores, of which only each query's best go on to the merge.
+
+Where only the judged documents among each query's best count, :func:`judged_ranks` holds a group of queries in a task
+and lets all documents stream past it: no candidate ever leaves the task.
 """
 
 from __future__ import annotations
@@ -11,14 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routescope.functions.vectors import dot
+from routescope.functions.nested import as_array
+from routescope.functions.vectors import EPS, dot
 from routescope.session import cut_lineage
 
 QUERY_BLOCK, DOC_BLOCK = 1024, 4096
 DIGITS = 6
+SEARCH_ROWS = 8192
+CHUNK_ROWS = 1024
+SCORE_BITS, PLACE_BITS = 21, 42
 
 
 def _stack(col: pa.ListScalar | pa.Array) -> np.ndarray:
@@ -70,6 +78,165 @@ def best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best of documents that come in the order of their ids, for n queries: falling rounded cosine, then id.
+
+    A candidate is one number: its query, its rounded score from above and its document's place, so that sorted numbers
+    are ranked candidates. Once a query has k documents, a later one must have a greater rounded score to count.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.k, self.n, self.seen = k, n, 0
+        self.doc_bits = PLACE_BITS - max(n - 1, 1).bit_length()
+        self.held, self.late = np.empty(0, np.int64), []
+        self.bar = np.full((n, 1), -np.inf)
+
+    def add(self, queries: np.ndarray, rows: np.ndarray, docs: np.ndarray, places: np.ndarray) -> None:
+        """Unit vectors of the queries ``rows`` and of the documents at ``places``."""
+        if len(places) and places[-1] >> self.doc_bits:
+            raise OverflowError(f"more than {1 << self.doc_bits} documents for a group of {self.n} queries")
+        lo = 0
+        while lo < len(docs):
+            hi = lo + min(max(self.seen, 128), CHUNK_ROWS)  # the first chunks are small: they have no bar yet
+            scores = queries @ docs[lo:hi].T
+            row, col = np.nonzero(scores >= self.bar[rows])
+            x = scores[row, col]
+            rounded = (np.sign(x) * np.floor(np.abs(x) * 10.0**DIGITS + 0.5)).astype(np.int64)
+            self.late.append((rows[row] << SCORE_BITS | ((1 << SCORE_BITS - 1) - rounded)) << self.doc_bits | places[lo:hi][col])
+            self.seen += scores.shape[1]
+            lo = hi
+            if 2 * sum(map(len, self.late)) > len(self.held):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, rank and document's place of the best so far."""
+        keys = np.sort(np.concatenate([self.held, *self.late]))
+        row = keys >> SCORE_BITS + self.doc_bits
+        rank = np.arange(1, len(keys) + 1) - np.searchsorted(row, np.arange(self.n))[row]
+        best = rank <= self.k
+        self.held, self.late, row, rank = keys[best], [], row[best], rank[best]
+        last = rank == self.k
+        kth = (1 << SCORE_BITS - 1) - (self.held[last] >> self.doc_bits & (1 << SCORE_BITS) - 1)
+        self.bar[row[last], 0] = (kth + 0.4) / 10.0**DIGITS
+        return row, rank, self.held & (1 << self.doc_bits) - 1
+
+
+def _mixed(columns: list[pa.Array], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose vectors of a weight are all there and finite, and the unit vectors of their weighted sums."""
+    whole, total = np.ones(len(columns[0]), bool), None
+    for col, w in zip(columns, weights, strict=True):
+        if w:
+            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+            flat, row = col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+            good = (n > 0) & (np.bincount(row[~np.isfinite(flat)], minlength=len(n)) == 0)
+            dims = np.unique(n[good])
+            if len(dims) > 1:
+                raise ValueError(f"vectors of {dims[0]} and {dims[-1]} dimensions")
+            whole &= good
+            if not whole.any():
+                return np.empty(0, np.int64), np.empty((0, 0))
+            full = np.zeros((len(n), dims[0]))
+            full[good] = w * flat[good[row]].reshape(-1, dims[0]).astype(np.float64)
+            total = full if total is None else total + full
+    rows = np.flatnonzero(whole)
+    vecs = total[rows]
+    return rows, vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), EPS)
+
+
+class _Group:
+    """The queries of one slot, all methods of its family, and the documents that stream past."""
+
+    def __init__(self, pass_name: str, methods: dict[str, list[float]], k: int):
+        self.pass_name, self.methods, self.k = pass_name, methods, k
+        self.queries, self.docs, self.made, self.places = [], [], None, 0
+
+    def start(self) -> None:
+        if self.made is None and self.queries:
+            table = pa.Table.from_batches(self.queries).combine_chunks()
+            self.ids, self.wanted = as_array(table.column("text_id")), as_array(table.column("wanted"))
+            columns = [as_array(table.column(c)) for c in table.column_names if c[0] == "v" and c[1:].isdigit()]
+            self.made = {m: (*_mixed(columns[: len(w)], w), _Best(len(self.ids), self.k)) for m, w in self.methods.items()}
+
+    def add(self, part: pa.RecordBatch) -> None:
+        if part.column("wanted")[0].is_valid:
+            self.queries.append(part)
+            return
+        self.start()
+        if self.made is None:
+            return
+        columns = [part.column(c) for c in part.schema.names if c[0] == "v" and c[1:].isdigit()]
+        for m, w in self.methods.items():
+            rows, vecs = _mixed(columns[: len(w)], w)
+            mine, queries, best = self.made[m]
+            if len(rows) and len(mine):
+                best.add(queries, mine, vecs, self.places + rows)
+        self.docs.append(part.column("text_id").take(pa.array(np.arange(part.num_rows))))  # a copy: a slice would keep the batch
+        self.places += part.num_rows
+
+    def ranks(self) -> Iterator[pa.RecordBatch]:
+        if self.made is None or not self.docs:
+            return
+        names = pa.concat_arrays(self.docs)
+        at = pc.index_in(self.wanted.flatten(), value_set=names).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(self.ids)), pc.list_value_length(self.wanted).to_numpy(zero_copy_only=False))
+        there = ~np.isnan(at)
+        judged = row[there] << 32 | at[there].astype(np.int64)
+        for m, (_, _, best) in self.made.items():
+            row, rank, place = best.settle()
+            keep = np.isin(row << 32 | place, judged) | (rank == 1)
+            row, rank, place = row[keep], rank[keep], place[keep]
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(row), pa.string()), pa.array([self.pass_name] * len(row), pa.string()), self.ids.take(pa.array(row)), names.take(pa.array(place)), pa.array(rank, pa.int32())], names=["method", "pass_name", "query_id", "doc_id", "rank"])
+
+
+def _stream(families: list[dict[str, list[float]]], k: int):
+    """Rows arrive sorted by (slot, queries first, text_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, group = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slots = batch.column("slot").to_numpy()
+            doc = batch.column("wanted").is_null().to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero(np.concatenate(([True], (slots[1:] != slots[:-1]) | (doc[1:] != doc[:-1]))))
+            for lo, hi in zip(turns, [*turns[1:], batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if slots[lo] != slot:
+                    if group is not None:
+                        yield from group.ranks()
+                    slot, group = slots[lo], _Group(part.column("pass_name")[0].as_py(), families[part.column("family")[0].as_py()], k)
+                group.add(part)
+        if group is not None:
+            yield from group.ranks()
+
+    return run
+
+
+def judged_ranks(texts: DataFrame, passes: list[str], families: list[dict[str, dict[str, float]]], queries: int, k: int, group_rows: int = SEARCH_ROWS) -> DataFrame:
+    """method, pass_name, query_id, doc_id, rank: of each query's k best documents by cosine (rounded, then by id) the
+    first and those the query asks about.
+
+    ``texts``: pass_name, text_id, wanted - the documents a query asks about, null for a document - and array columns;
+    ``families``: sets of methods, each a weighted sum of array columns, whose arrays travel together; ``queries``: about
+    how many queries a pass has. A text without a finite vector of a method has no rank by it. Of each pass and family
+    about ``group_rows`` queries are held by a task and the documents stream past in the order of their ids, so the
+    documents travel once a group and nothing but the result leaves it; a task holds the queries' vectors and k numbers
+    a query and method.
+    """
+    parts, dtype = max(1, -(-queries // group_rows)), dict(texts.dtypes)["text_id"]
+    columns = [sorted({c for m in f.values() for c in m}) for f in families]
+    width = max(map(len, columns))
+    kind = dict(texts.dtypes)[columns[0][0]]
+    laid = [F.struct(F.lit(i).alias("family"), *[(F.col(own[j]) if j < len(own) else F.lit(None).cast(kind)).alias(f"v{j}") for j in range(width)]) for i, own in enumerate(columns)]
+    part = F.when(F.col("wanted").isNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int")))
+    at = F.array_position(F.array(*[F.lit(p) for p in passes]).cast("array<string>"), F.col("pass_name")).cast("int") - 1
+    spread = texts.withColumn("part", F.explode(part)).select("pass_name", "text_id", "wanted", "part", F.explode(F.array(*laid)).alias("f")).select("pass_name", "text_id", "wanted", "part", "f.*")
+    slots = spread.withColumn("slot", (at * len(families) + F.col("family")) * parts + F.col("part"))
+    ordered = slots.repartitionById(max(1, len(passes) * len(families) * parts), F.col("slot")).sortWithinPartitions("slot", F.col("wanted").isNull(), "text_id")
+    weights = [{m: [w.get(c, 0.0) for c in own] for m, w in f.items()} for f, own in zip(families, columns, strict=True)]
+    return ordered.drop("part").mapInArrow(_stream(weights, k), f"method string, pass_name string, query_id {dtype}, doc_id {dtype}, rank int")
+
+
 def _sparse_blocks(k: int | None):
     def spread(side: pa.StructArray, dims: np.ndarray) -> np.ndarray:
         rows = side.field("row")

@@ -50,15 +50,8 @@ def _sparse(spark: SparkSession, folder: str) -> DataFrame:
 DENSE = {"KV-Embedding": lambda s, f: D.hybrid(_last(s, f), _mean(s, f)), "LastToken-HS": _last, "MeanPool-HS": _mean, "MoEE": _moee}
 
 
-def _all_dense(spark: SparkSession, folder: str) -> DataFrame:
-    """The vectors of all methods in DENSE from one scan, with pass_name = method|pass."""
-    cols = [F.try_element_at("hs_last_token", F.lit(-1)).alias("last"), F.try_element_at("hs_mean", F.lit(-1)).alias("mean"), F.flatten("routing_full_last").alias("moee")]
-    rows = current(payload_rows(spark, folder, None, cols))
-    good = rows.select(*TEXT, *[F.when(finite(F.col(c)) & (F.size(c) > 0), doubles(F.col(c))).alias(c) for c in ("last", "mean", "moee")])
-    both = F.when(F.col("last").isNotNull() & F.col("mean").isNotNull(), F.zip_with("last", "mean", lambda x, y: 0.5 * (x + y)))
-    made = {"KV-Embedding": both, "LastToken-HS": F.col("last"), "MeanPool-HS": F.col("mean"), "MoEE": F.col("moee")}
-    each = good.select(*TEXT, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), v.alias("vec")) for m, v in made.items()])).alias("r"))
-    return each.where("r.vec is not null").select(F.concat_ws("|", "r.method", "pass_name").alias("pass_name"), "text_id", F.col("r.vec").alias("vec"))
+#: Methods whose vectors travel together, each a weighted sum of columns of one scan.
+FAMILIES = [{"KV-Embedding": {"last": 0.5, "mean": 0.5}, "LastToken-HS": {"last": 1.0}, "MeanPool-HS": {"mean": 1.0}}, {"MoEE": {"moee": 1.0}}]
 
 
 def _normal(df: DataFrame) -> DataFrame:
@@ -81,12 +74,18 @@ def _side(df: DataFrame, records: DataFrame, kind: str) -> DataFrame:
 
 def eval_dense(spark: SparkSession, folder: str) -> DataFrame:
     """nDCG and recall of four single-vector methods in both passes, queries against all documents, on the judgements."""
-    rep = cut_lineage(_normal(_all_dense(spark, folder)))
-    kinds = current_records(spark, folder).select("text_id", "kind")
-    scores = S.dense_scores(_side(rep, kinds, "query"), _side(rep, kinds, "doc"), TOP)
-    part = F.split("pass_name", r"\|")
-    ranked = S.best(scores.select(part[0].alias("method"), part[1].alias("pass_name"), "query_id", "doc_id", "score"), TOP)
-    return E.summary(E.per_query(cut_lineage(ranked), current_judgements(spark, folder)), ["ndcg_10", "ndcg_100", "recall_10", "recall_100"])
+    judged = current_judgements(spark, folder)
+    wanted = judged.where("rel > 0").groupBy(F.col("query_id").alias("text_id")).agg(F.collect_list("doc_id").alias("wanted"))
+    kinds = current_records(spark, folder).select("text_id", "kind").join(wanted, "text_id", "left")
+    # a query without a positive judgement has no metrics
+    kinds = cut_lineage(kinds.where("kind = 'doc' or kind = 'query' and wanted is not null").select("text_id", F.when(F.col("kind") == "query", F.col("wanted")).alias("wanted")))
+    passes = sorted(r["pass_name"] for r in payload_rows(spark, folder, None, []).select("pass_name").where("pass_name is not null").distinct().collect())  # one row per pass
+    cols = [F.try_element_at("hs_last_token", F.lit(-1)).alias("last"), F.try_element_at("hs_mean", F.lit(-1)).alias("mean"), F.flatten("routing_full_last").alias("moee")]
+    rows = current(payload_rows(spark, folder, None, cols)).select(*TEXT, "last", "mean", "moee")
+    # joined on the keys of the latest attempts, so the vectors are not shuffled again
+    each = kinds.withColumn("pass_name", F.explode(F.array(*[F.lit(p) for p in passes]).cast("array<string>")))
+    ranked = S.judged_ranks(rows.join(each, TEXT), passes, FAMILIES, kinds.where("wanted is not null").count(), TOP)
+    return E.summary(E.per_query(cut_lineage(ranked), judged), ["ndcg_10", "ndcg_100", "recall_10", "recall_100"])
 
 
 def map_precision(spark: SparkSession, folder: str) -> DataFrame:

@@ -120,3 +120,44 @@ def test_two_nearest_neighbours(spark):
     a, b = np.log(mu), -np.log(1 - np.arange(1, 61) / 61)
     assert abs(got[0]["dimension"] - (a @ b) / (a @ a)) < 1e-5
     assert np.isnan(got[1]["dimension"])
+
+
+@pytest.mark.parametrize("group_rows", [9, 1024])
+def test_streamed_ranks_equal_a_full_sort(spark, group_rows):
+    rng, k = np.random.default_rng(12), 3
+    x = {f"d{i:03d}": rng.standard_normal(6) for i in range(300)} | {f"q{i:02d}": rng.standard_normal(6) for i in range(40)}
+    for i in range(100, 300, 7):  # copies tie: the smaller id is ahead
+        x[f"d{i:03d}"] = x[f"d{i % 3:03d}"]
+    wanted = {t: None if t[0] == "d" else [f"d{j:03d}" for j in rng.choice(300, 60, replace=False)] + ["gone"] for t in x}
+    two = {t: None if i % 9 == 0 else [float("nan")] * 4 if i % 11 == 0 else rng.standard_normal(4).tolist() for i, t in enumerate(x)}
+    rows = [(p, t, wanted[t], (v if p == "p" else -v * (t[0] == "q")).tolist(), two[t]) for p in "pr" for t, v in x.items()]
+    texts = spark.createDataFrame(rows, "pass_name string, text_id string, wanted array<string>, one array<double>, two array<double>")
+    families = [{"A": {"one": 1.0}}, {"B": {"two": 1.0}, "C": {"two": 2.0}}]
+    want = set()
+    for p in "pr":
+        for m in "ABC":
+            vec = {t: np.array(v if m == "A" else w) for q, t, _, v, w in rows if q == p and (m == "A" or w is not None and w[0] == w[0])}
+            unit = {t: v / max(np.linalg.norm(v), 1e-10) for t, v in vec.items()}
+            docs = sorted(t for t in unit if t[0] == "d")
+            for q in (t for t in unit if t[0] == "q"):
+                order = sorted(docs, key=lambda d: (-round(float(unit[q] @ unit[d]), 6), d))[:k]
+                want |= {(m, p, q, d, r) for r, d in enumerate(order, 1) if r == 1 or d in wanted[q]}
+    got = scoring.judged_ranks(texts, ["p", "r"], families, 40, k, group_rows)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_best_keeps_the_first_of_equals_over_chunks():
+    docs, queries = np.ones((5000, 1)), np.array([[1.0], [-1.0]])
+    best = scoring._Best(2, 4)
+    for lo in range(0, 5000, 1700):
+        part = docs[lo : lo + 1700]
+        best.add(queries, np.arange(2), part, np.arange(lo, lo + len(part)))
+    row, rank, place = best.settle()
+    assert list(zip(row, rank, place)) == [(q, r + 1, r) for q in range(2) for r in range(4)]
+
+
+def test_only_judged_candidates_leave_the_ranking(spark):
+    rng = np.random.default_rng(13)
+    rows = [("p", f"d{i:05d}", None, rng.standard_normal(8).tolist()) for i in range(20000)] + [("p", f"q{i:03d}", ["d00007"], rng.standard_normal(8).tolist()) for i in range(200)]
+    texts = spark.createDataFrame(rows, "pass_name string, text_id string, wanted array<string>, v array<double>")
+    assert 200 <= scoring.judged_ranks(texts, ["p"], [{"A": {"v": 1.0}}], 200, 100).count() <= 400
