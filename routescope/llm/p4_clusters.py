@@ -51,7 +51,7 @@ BUCKET_ROWS = 20000
 TYPICAL = 3
 MIN_SIZE = 3
 FEW = 4
-PIVOTS = 64
+PIVOTS_AT_ONCE = 256
 PAIRS_AT_ONCE = 1 << 20
 BROADCAST_IDS = 500_000
 
@@ -462,29 +462,62 @@ def _merge_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([total.tobytes()], pa.binary())], names=["group_id", "total"])
 
 
+class _Cell:
+    """The members of a part of a group: their closest pivot so far, ties to the pivot met first."""
+
+    def __init__(self):
+        self.ids, self.units, self.total, self.names = [], [], None, []
+
+    def meet(self, names: list[str], pivots: np.ndarray) -> None:
+        if not self.names:
+            self.x = np.concatenate(self.units) if self.units else np.empty((0, pivots.shape[1]))
+            self.score, self.who, self.units = np.full(len(self.x), -np.inf), np.zeros(len(self.x), np.int64), []
+        for lo in range(0, len(pivots), PIVOTS_AT_ONCE):
+            cos = np.round(self.x @ pivots[lo : lo + PIVOTS_AT_ONCE].T, 6)
+            best = cos.argmax(axis=1)
+            top = cos[np.arange(len(cos)), best]
+            closer = top > self.score
+            self.score[closer], self.who[closer] = top[closer], best[closer] + lo + len(self.names)
+        self.names += names
+
+    def rows(self, group: str) -> list[tuple[str, str, str, float]]:
+        return [(group, i, self.names[k], t) for i, k, t in zip(self.ids, self.who.tolist(), (self.x @ self.total).tolist(), strict=True)] if self.ids else []
+
+
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (group, part, kind, id), a part's pivots (kind 0, with the group's sum) before its members -> each
-    member's closest pivot and its typicality."""
-    at, pivots, units, total = None, [], [], None
+    """Sorted by (group, part, kind, id), the group's sum (kind 0), a part's members (1), then all pivots of the group
+    (2) -> each member's closest pivot and its typicality. The members are held and the pivots stream past."""
+
+    def made(out: list[tuple[str, str, str, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], names=["group_id", "id", "pivot", "typical"])
+
+    at, cell = None, _Cell()
     for batch in batches:
         if not batch.num_rows:
             continue
         key = list(zip(*(batch.column(c).to_pylist() for c in ("group_id", "part", "kind")), strict=True))
         ids = batch.column("id").to_pylist()
-        x = np.concatenate([_unit(_matrix(batch.column(c))) for c in "ab"], axis=1)
+        there = batch.column("kind").to_numpy() > 0
+        held = batch.filter(pa.array(there))
+        x = np.concatenate([_unit(_matrix(held.column(c))) for c in "ab"], axis=1) if held.num_rows else None
+        place = np.cumsum(there) - there
         starts = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]]
         out = []
         for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
             group, part, kind = key[lo]
             if (group, part) != at:
-                at, pivots, units, total = (group, part), [], [], np.frombuffer(batch.column("total")[lo].as_py())
+                out += cell.rows(at[0]) if at else []
+                at, cell = (group, part), _Cell()
             if kind == 0:
-                pivots, units = pivots + ids[lo:hi], [*units, x[lo:hi]]
+                cell.total = np.frombuffer(batch.column("total")[lo].as_py())
+            elif kind == 1:
+                cell.ids, cell.units = cell.ids + ids[lo:hi], [*cell.units, x[place[lo] : place[lo] + hi - lo]]
             else:
-                best = np.round(x[lo:hi] @ np.concatenate(units).T, 6).argmax(axis=1)
-                out += [(group, ids[i], pivots[k], t) for i, k, t in zip(range(lo, hi), best, (x[lo:hi] @ total).tolist(), strict=True)]
+                cell.meet(ids[lo:hi], x[place[lo] : place[lo] + hi - lo])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], names=["group_id", "id", "pivot", "typical"])
+            yield made(out)
+    if at and (out := cell.rows(at[0])):
+        yield made(out)
 
 
 def sums_of(members: DataFrame) -> DataFrame:
@@ -497,19 +530,19 @@ def closest_pivots(members: DataFrame, links: DataFrame, sizes: DataFrame, part_
     """(group_id, id, pivot, typical): each member's closest pivot among those of its group, ties to the smaller id,
     and its similarity to all members of the group, the dot product with the sum of their unit vectors.
 
-    A group's pivots are the up to PIVOTS records that absorbed the most in the first round; a group that only
-    later rounds joined has its least record. Groups above ``part_rows`` go in parts, each with all pivots.
+    A group's pivots are all records that absorbed others in the first round; a group that only later rounds joined has
+    its least record. Groups above ``part_rows`` go in parts, each with all pivots: a task holds a part's members, and
+    the pivots, however many, stream past in the order of their ids.
     """
-    absorbed = links.where("pivot").groupBy(F.col("p").alias("id")).agg(F.countDistinct("x").alias("n"))
-    w = Window.partitionBy("group_id").orderBy(F.desc("n"), "id")
-    named = members.select("group_id", "id").join(absorbed, "id").withColumn("r", F.row_number().over(w)).where(f"r <= {PIVOTS}").select("group_id", "id")
-    least = sizes.select("group_id").join(named.select("group_id").distinct(), "group_id", "left_anti").select("group_id", F.col("group_id").alias("id"))
+    named = members.select("group_id", "id").join(links.where("pivot").select(F.col("p").alias("id")).distinct(), "id").select("group_id", "id")
+    least = members.join(named.select("group_id").distinct(), "group_id", "left_anti").groupBy("group_id").agg(F.min("id").alias("id"))
     parts = sizes.select("group_id", F.ceil(F.col("size") / part_rows).cast("int").alias("parts"))
-    chosen = members.join(named.unionByName(least).select("id"), "id", "left_semi").join(sums_of(members), "group_id")
-    heads = chosen.join(parts, "group_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(0))
-    rest = members.join(parts, "group_id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("kind", F.lit(1)).withColumn("total", F.lit(None).cast("binary"))
-    names = ["group_id", "part", "kind", "id", "a", "b", "total"]
-    placed = heads.select(names).unionByName(rest.select(names)).repartition("group_id", "part").sortWithinPartitions("group_id", "part", "kind", "id")
+    every, none = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.lit(None).cast("binary")
+    sums = sums_of(members).join(parts, "group_id").select("group_id", every.alias("part"), F.lit(0).alias("kind"), F.lit("").alias("id"), none.alias("a"), none.alias("b"), "total")
+    rest = members.join(parts, "group_id").select("group_id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "id", "a", "b", none.alias("total"))
+    chosen = members.join(named.unionByName(least), ["group_id", "id"], "left_semi").join(parts, "group_id")
+    heads = chosen.select("group_id", every.alias("part"), F.lit(2).alias("kind"), "id", "a", "b", none.alias("total"))
+    placed = sums.unionByName(rest).unionByName(heads).repartition("group_id", "part").sortWithinPartitions("group_id", "part", "kind", "id")
     return placed.mapInArrow(_assign, "group_id string, id string, pivot string, typical double")
 
 

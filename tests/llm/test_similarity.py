@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from routescope.llm import p3_similar, p4_clusters, p6_neighbours
 
@@ -275,3 +276,24 @@ def test_queries_named_by_a_condition(spark):
     df = spark.createDataFrame([(str(i), rng.standard_normal(6).tolist()) for i in range(40)], "text_id string, v array<float>")
     got = p6_neighbours.nearest(df, ["v"], k=2, query="cast(text_id as int) % 20 = 0")
     assert sorted({r["text_id"] for r in got.collect()}) == ["0", "20"] and got.count() == 4
+
+
+def test_a_group_of_very_many_pivots_keeps_them_all(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((900, 6)).astype(np.float32)
+    x[500:520] = x[3]  # equal pivots: the smaller id is closer
+    ids = ["g000", *(f"m{i:03d}" for i in range(1, 900))]
+    members = spark.createDataFrame([("g000", i, _bytes(v), _bytes(v)) for i, v in zip(ids, x)], "group_id string, id string, a binary, b binary")
+    # 600 pivots; the first ones absorb two records, the others one
+    links = spark.createDataFrame([(ids[600 + i % 300], ids[i % 600], True) for i in range(700)], "x string, p string, pivot boolean")
+    sizes = spark.createDataFrame([("g000", 900)], "group_id string, size int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(2 * u.astype(np.float64) @ u[:600].T.astype(np.float64), 4)
+    for part_rows in (20000, 100):
+        got = {r["id"]: r for r in p4_clusters.closest_pivots(members, links, sizes, part_rows).collect()}
+        assert len(got) == 900 and all(abs(near[i, ids.index(got[ids[i]]["pivot"])] - near[i].max()) < 1e-3 for i in range(900))
+        assert all(got[ids[i]]["pivot"] == ids[i if i < 500 else 3] for i in range(520))
+        assert all(abs(got[ids[i]]["typical"] - 2 * u[i] @ u.sum(axis=0)) < 1e-2 for i in range(900))
+    # a cluster named by a record that went to another one still has its typical member
+    lone = p4_clusters.closest_pivots(members.withColumn("group_id", F.lit("zz")), links.where("false"), spark.createDataFrame([("zz", 900)], "group_id string, size int"))
+    assert {r["pivot"] for r in lone.collect()} == {"g000"}
