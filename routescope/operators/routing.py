@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from routescope.session import cut_lineage
 
 COMPARED = "text_id string, layer int, kl array<double>, top1 array<double>, topk array<double>"
 SLICE_ROWS = 256
+PAIR_ROWS, PAIR_TASKS = 1 << 17, 10_000
 
 
 class _Pass:
@@ -169,30 +171,72 @@ def _co_judged(p: pa.Array, q: pa.Array) -> np.ndarray:
     return (a @ b.T) > 0
 
 
-def _compare(pairs: bool):
+def rounded_shares(width: int, digits: int) -> np.ndarray:
+    """[c, t]: c / t to ``digits`` places, halves up, for c and t up to ``width``; 0 where t is 0. In whole numbers, so exact."""
+    c, t, one = np.arange(width + 1)[:, None], np.maximum(np.arange(width + 1), 1)[None, :], 10**digits
+    return (2 * one * c + t) // (2 * t) / one
+
+
+def _pair_rows(digits: int | None):
+    """Pairs of two blocks, a < b, in runs of one a: from texts in the order of their ids, so that order is a matter of place."""
+    shares: dict[int, np.ndarray] = {}
+
+    def sorted_side(side: pa.StructArray) -> tuple[list[str], pa.Array, np.ndarray]:
+        ids = side.field("text_id").to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)  # by code point, as the engine's binary order
+        take = pa.array(order, pa.int64())
+        return [ids[i] for i in order], side.field("text_id").take(take), _bits(side.field("bits").take(take))
+
+    def rows(left: pa.Array, right: pa.Array, common: np.ndarray, n: np.ndarray, m: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of every row of ``left`` the pairs with ``right`` from place ``first`` on."""
+        many = common.shape[1] - first
+        step = np.cumsum(many) // PAIR_ROWS
+        bounds = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1], [True]))) if len(step) else []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            k = many[lo:hi]
+            r = np.repeat(np.arange(lo, hi), k)
+            c = np.arange(len(r)) - np.repeat(np.cumsum(k) - k, k) + first[r]
+            both = common[r, c].astype(np.int64)
+            total = n[r] + m[c] - both
+            if digits is None:
+                similarity = both / np.maximum(total, 1)
+            else:
+                similarity = shares[digits][both, total]
+            if len(r):
+                yield pa.RecordBatch.from_arrays([left.take(pa.array(r)), right.take(pa.array(c)), pa.array(similarity)], names=["a", "b", "jaccard"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                p, q = batch.column("p")[i].values, batch.column("q")[i].values
-                x, y = _bits(p.field("bits")), _bits(q.field("bits"))
-                common = x @ y.T
-                total = x.sum(1)[:, None] + y.sum(1)[None, :] - common
-                similarity = common.astype(np.float64) / np.maximum(total, 1)
-                left, right = (np.array(z.field("text_id").to_pylist(), dtype=object) for z in (p, q))
-                once = left[:, None] < right[None, :] if batch.column("same")[i].as_py() else np.ones(common.shape, bool)
-                if pairs:
-                    r, c = np.nonzero(once)
-                    swap = left[r] > right[c]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, right[c], left[r]), pa.string()), pa.array(np.where(swap, left[r], right[c]), pa.string()), pa.array(similarity[r, c])], names=["a", "b", "jaccard"])
-                else:
-                    rel = _co_judged(p.field("queries"), q.field("queries"))
-                    yield pa.RecordBatch.from_arrays([pa.array([float(similarity[once & rel].sum())]), pa.array([int((once & rel).sum())]), pa.array([float(similarity[once & ~rel].sum())]), pa.array([int((once & ~rel).sum())])], names=["rel_sum", "rel_n", "other_sum", "other_n"])
+                same = batch.column("same")[i].as_py()
+                (names, p, x), (others, q, y) = (sorted_side(batch.column(c)[i].values) for c in "pq")
+                if digits is not None and digits not in shares:
+                    shares[digits] = rounded_shares(x.shape[1], digits)
+                common, n, m = x @ y.T, *(z.sum(axis=1).astype(np.int64) for z in (x, y))
+                yield from rows(p, q, common, n, m, np.array([bisect_right(others, a) for a in names], np.int64))
+                if not same:
+                    yield from rows(q, p, common.T, m, n, np.array([bisect_right(names, a) for a in others], np.int64))
 
     return run
 
 
-def _block_pairs(active: DataFrame, judged: DataFrame | None, block: int, layers: int, experts: int) -> DataFrame:
-    """Texts packed into blocks of bit rows, and every pair of blocks once, by an equi-join on the block number."""
+def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            p, q = batch.column("p")[i].values, batch.column("q")[i].values
+            x, y = _bits(p.field("bits")), _bits(q.field("bits"))
+            common = x @ y.T
+            total = x.sum(1)[:, None] + y.sum(1)[None, :] - common
+            similarity = common.astype(np.float64) / np.maximum(total, 1)
+            left, right = (np.array(z.field("text_id").to_pylist(), dtype=object) for z in (p, q))
+            once = left[:, None] < right[None, :] if batch.column("same")[i].as_py() else np.ones(common.shape, bool)
+            rel = _co_judged(p.field("queries"), q.field("queries"))
+            yield pa.RecordBatch.from_arrays([pa.array([float(similarity[once & rel].sum())]), pa.array([int((once & rel).sum())]), pa.array([float(similarity[once & ~rel].sum())]), pa.array([int((once & ~rel).sum())])], names=["rel_sum", "rel_n", "other_sum", "other_n"])
+
+
+def _block_pairs(active: DataFrame, judged: DataFrame | None, block: int, layers: int, experts: int) -> tuple[DataFrame, int]:
+    """Texts packed into blocks of bit rows, and every pair of blocks once, by an equi-join on the block number; the
+    number of pairs."""
     rows = active.groupBy("text_id").agg(F.collect_set((F.col("layer") * experts + F.col("expert")).cast("int")).alias("active"))
     if judged is None:
         rows = rows.withColumn("queries", F.array().cast("array<string>"))
@@ -204,14 +248,16 @@ def _block_pairs(active: DataFrame, judged: DataFrame | None, block: int, layers
     blocks = packed.groupBy(F.pmod(F.xxhash64("text_id"), F.lit(count)).cast("int").alias("i")).agg(F.collect_list(F.struct("text_id", "queries", "bits")).alias("p"))
     left = blocks.select("i", "p", F.explode(F.sequence(F.col("i"), F.lit(count - 1))).alias("j"))
     met = left.join(blocks.select(F.col("i").alias("j"), F.col("p").alias("q")), "j")
-    return met.select("p", "q", (F.col("i") == F.col("j")).alias("same"))
+    return met.select("p", "q", (F.col("i") == F.col("j")).alias("same"), (F.expr("j * (j + 1L) div 2") + F.col("i")).alias("pair")), count * (count + 1) // 2
 
 
-def jaccard_pairs(active: DataFrame, block: int = 2048, layers: int = 4, experts: int = 128) -> DataFrame:
-    """a < b, jaccard of every pair of texts, 0 where nothing is common: a full matrix, in blocks.
+def jaccard_pairs(active: DataFrame, block: int = 2048, layers: int = 4, experts: int = 128, digits: int | None = None) -> DataFrame:
+    """a < b, jaccard of every pair of texts, 0 where nothing is common: a full matrix, in blocks; rounded if ``digits``.
 
     For large sets use the similarity join of the data pipeline, which returns only pairs above a threshold."""
-    return _block_pairs(active, None, block, layers, experts).mapInArrow(_compare(True), "a string, b string, jaccard double")
+    met, pairs = _block_pairs(active, None, block, layers, experts)
+    spread = met.repartitionById(min(pairs, PAIR_TASKS), F.pmod("pair", F.lit(min(pairs, PAIR_TASKS))).cast("int"))  # blocks are small, their pairs are not
+    return spread.mapInArrow(_pair_rows(digits), "a string, b string, jaccard double")
 
 
 def relevance_split(active: DataFrame, judged: DataFrame, block: int = 2048, layers: int = 4, experts: int = 128) -> DataFrame:
@@ -219,7 +265,8 @@ def relevance_split(active: DataFrame, judged: DataFrame, block: int = 2048, lay
 
     Similarities and shared judgements are both matrices of a pair of blocks and only their sums leave the task, so
     neither the pairs of texts nor the pairs judged for one query - however many it has - are ever rows."""
-    sums = _block_pairs(active, judged, block, layers, experts).mapInArrow(_compare(False), "rel_sum double, rel_n bigint, other_sum double, other_n bigint")
+    met, _ = _block_pairs(active, judged, block, layers, experts)
+    sums = met.mapInArrow(_split_sums, "rel_sum double, rel_n bigint, other_sum double, other_n bigint")
     whole = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rel_sum", "rel_n", "other_sum", "other_n")])
     mean = lambda s, c: F.when(F.col(c) > 0, F.round(F.col(s) / F.col(c), 6)).otherwise(float("nan"))
     return whole.select(mean("rel_sum", "rel_n").alias("relevant_mean"), mean("other_sum", "other_n").alias("other_mean"), F.col("rel_n").cast("bigint").alias("relevant_pairs"), F.col("other_n").cast("bigint").alias("other_pairs"))

@@ -140,7 +140,7 @@ def active_experts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return A.jaccard_pairs(_active(spark, folder)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return A.jaccard_pairs(_active(spark, folder), digits=6)  # rounded in the kernel: in the JVM it would go by decimals
 
 
 def jaccard_relevance(spark: SparkSession, folder: str) -> DataFrame:

@@ -161,3 +161,20 @@ def test_only_judged_candidates_leave_the_ranking(spark):
     rows = [("p", f"d{i:05d}", None, rng.standard_normal(8).tolist()) for i in range(20000)] + [("p", f"q{i:03d}", ["d00007"], rng.standard_normal(8).tolist()) for i in range(200)]
     texts = spark.createDataFrame(rows, "pass_name string, text_id string, wanted array<string>, v array<double>")
     assert 200 <= scoring.judged_ranks(texts, ["p"], [{"A": {"v": 1.0}}], 200, 100).count() <= 400
+
+
+def test_every_pair_of_blocks_is_a_task_and_shares_round_half_up(spark):
+    rng = np.random.default_rng(15)
+    active = {f"t{i:02d}": {int(e) for e in rng.choice(200, rng.integers(1, 150), replace=False)} for i in range(40)}
+    active |= {"x": set(range(128)), "y": {0}}  # 1 / 128 is a tie at six digits
+    df = spark.createDataFrame([(t, e // 128, e % 128) for t, own in active.items() for e in own], "text_id string, layer int, expert int")
+    want = {(a, b): len(active[a] & active[b]) / len(active[a] | active[b]) for a in active for b in active if a < b}
+    for block in (9, 100):
+        exact, rounded = (routing.jaccard_pairs(df, block=block, digits=d) for d in (None, 6))
+        assert {(r["a"], r["b"]): r["jaccard"] for r in exact.collect()} == want and exact.count() == len(want)
+        spark_rounds = {(r["a"], r["b"]): r["j"] for r in exact.select("a", "b", F.round("jaccard", 6).alias("j")).collect()}
+        assert {(r["a"], r["b"]): r["jaccard"] for r in rounded.collect()} == spark_rounds
+        tasks = rounded.rdd.getNumPartitions()
+        assert tasks == (15 if block == 9 else 1)
+    assert spark_rounds["x", "y"] == 0.007813
+    assert routing.jaccard_pairs(df.limit(0)).count() == 0
